@@ -109,11 +109,12 @@ def mix(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return sized.join(b, F.expr("source <=> of AND size = z AND __bucket = b")).drop("of", "z", "b")
 
 
-def mixed(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, rate, copies."""
-    keyed = mix(docs.select("doc_id", "source", "text"), most).drop("text")
-    w = Window.partitionBy("source", "size", "__bucket").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    return keyed.withColumn("copies", F.col("each") + F.when(F.row_number().over(w) <= F.col("extra"), 1).otherwise(0)).select("doc_id", "size", "source_size", "target", "rate", "copies")
+def mixed(docs: DataFrame, most: int = MOST_COPIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, rate, copies, and the columns of keep."""
+    keyed = mix(docs.select("doc_id", "source", "text", *keep), most).drop("text")
+    w = Window.partitionBy("source", "size", "__bucket").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", *keep)
+    copies = F.col("each") + F.when(F.row_number().over(w) <= F.col("extra"), 1).otherwise(0)
+    return keyed.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "rate", "copies", *keep)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

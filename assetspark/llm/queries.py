@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from assetspark.llm import htmltext, licenses, mixing, packing, pii, topk, toxicity
+from assetspark.llm import htmltext, jaccard, licenses, linededup, mixing, packing, pii, spotsigs, topk, toxicity
 from assetspark.llm.common import table
 
 QUERIES = {
     "op1_license_scan": lambda spark, sf_dir: licenses.license_digest(table(spark, sf_dir, "documents")),
+    "op2_spot_signatures": lambda spark, sf_dir: spotsigs.fingerprint_digest(table(spark, sf_dir, "documents")),
+    "op3_line_dedup": lambda spark, sf_dir: linededup.dedup_digest(table(spark, sf_dir, "documents")),
     "op4_toxicity": lambda spark, sf_dir: toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_pack": lambda spark, sf_dir: packing.pack_documents(table(spark, sf_dir, "documents")),
+    "op6_ngram_jaccard": lambda spark, sf_dir: jaccard.linked(table(spark, sf_dir, "documents")),
     "op7_mix_sources": lambda spark, sf_dir: mixing.mix_digest(table(spark, sf_dir, "documents")),
     "op8_top_k": lambda spark, sf_dir: topk.top_k(table(spark, sf_dir, "embeddings")),
     "op9_html_text": lambda spark, sf_dir: htmltext.extract_main_text(table(spark, sf_dir, "pages")),
