@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Views of a few rows each, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a column as bytes, nulls as empty ones."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 # --- words of many texts at once, on bytes -------------------------------------------------------
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspark.llm.common import stored
+from assetspark.llm.common import in_slices, stored
 
 LENGTH = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 IN_BUCKET = 20_000
 #: A token never spans two of these: the tokenizer's own pattern cuts at least there.
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -80,21 +81,23 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Dat
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     closing = np.asarray([end], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (enc.encode(text) if isinstance(text, str) else b"") + closing
+        for batch in in_slices(batches):
+            whose, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = (enc.encode(text) if text else b"") + closing
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     size = n % length or length if k == 0 else length
-                    rows.append((doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    whose.append(i)
+                    rows.append((k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                     at, k = at + size, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"})
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(whose, pa.int32())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 def minimum_slack_plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -18,18 +18,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assetspark.llm.common import NOT_WORD, WordHasher
+from assetspark.llm.common import NOT_WORD, WordHasher, in_slices, utf8
 
 SAMPLE = 6000
 THRESHOLD = 0.7
 BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PADS = max(WIDTHS) - 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was on with as are be this by from at an".split(),
@@ -243,14 +243,13 @@ def score(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFr
     """docs with a score from 0 to 1 of each text."""
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
-            texts = [x.encode() if isinstance(x, str) else b"" for x in batch["text"]]
-            batch[out] = model.scores(texts, features) if model else np.zeros(len(texts))
-            yield batch
+        for rows in in_slices(batches):
+            scores = model.scores(utf8(rows.column("text")), features) if model else np.zeros(rows.num_rows)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], [*rows.schema.names, out])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
