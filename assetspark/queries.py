@@ -1,4 +1,4 @@
 """The registered queries of the engine and the SQL that each must equal."""
 
-QUERIES = {}
-ORACLES = {}
+from assetspark.plans import relational, recommending, scalars, scanning, verifying  # noqa: F401
+from assetspark.plans.registry import ORACLES, QUERIES  # noqa: F401
