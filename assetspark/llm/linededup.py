@@ -75,6 +75,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     # Texts travel as their lines: split once, before the shuffle.
     held = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__lines", F.split("text", "\n", -1)).drop("text")
     held = held.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left")
+    held = held.withColumn("__gone", F.filter("__gone", lambda i: _worded(F.get(F.col("__lines"), i))))
     staying = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     held = held.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.transform(staying, lambda i: F.get(F.col("__lines"), i))).otherwise(F.col("__lines")))
     held = held.withColumn("n_lines", F.coalesce(F.size(F.filter("__lines", _worded)), F.lit(0))).withColumn("n_deleted", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0))
