@@ -26,7 +26,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"))
 #: A start tag of the first kind ends an open element of the second, up to the nearest of the third.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|comments?|replies|respond|disqus|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|masthead|pager|pagination|toolbar|skip|print|tags)(?=$|[\s_-])", re.IGNORECASE)
+NOISE_NAME = re.compile(r"(?:^|\s)(?:(?:site|page|top|global)[_-]?)?header(?=$|\s)|(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|disclaimer|popup|modal|comments?|replies|respond|disqus|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|masthead|pager|pagination|toolbar|skip|print|tags)(?=$|[\s_-])", re.IGNORECASE)
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
@@ -60,7 +60,7 @@ def _is_noise(tag: str, attributes: str) -> bool:
 def parse(page: str) -> Node:
     """The tree of a page; tags that are missing, crossed or left open are mended as browsers do in the common cases."""
     root = here = Node("html", None, False)
-    at, n = 0, len(page)
+    at, n, articles = 0, len(page), 0
     while at < n:
         m = MARK.search(page, at)
         if not m:
@@ -92,6 +92,10 @@ def parse(page: str) -> Node:
             node = node.parent
         node = Node(tag, here, _is_noise(tag, m[3]))
         here.parts.append(node)
+        if tag == "main" or tag == "article" and not articles:  # what holds the article isn't noise, whatever its name
+            articles += tag == "article"
+            for up in _up(here):
+                up.noise &= up.tag in NOISE
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
