@@ -18,4 +18,39 @@ QUERIES = {
     "op10_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+#: A line goes if it lies in a run of 50 words or more that also stands at an earlier place. Runs are looked at from
+#: each line on and up to each line; lines without words belong to none.
+LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM split),
+worded AS (
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+  FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM worded),
+ahead AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.k),
+behind AS (SELECT a.doc_id, max(b.k) AS i, a.k AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k <= a.k AND a.upto - b.upto + b.words >= 50 GROUP BY a.doc_id, a.k),
+runs AS (SELECT doc_id, i, j FROM ahead UNION SELECT doc_id, i, j FROM behind),
+texts AS (SELECT r.doc_id, r.i, r.j, string_agg(c.line, chr(10) ORDER BY c.k) AS content FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.k BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j),
+firsts AS (SELECT content, min(doc_id * 1000000 + i) AS first_pos FROM texts GROUP BY content),
+gone AS (
+  SELECT DISTINCT t.doc_id, c.pos FROM texts t JOIN firsts f ON f.content = t.content JOIN c ON c.doc_id = t.doc_id AND c.k BETWEEN t.i AND t.j
+  WHERE t.doc_id * 1000000 + t.i > f.first_pos),
+kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS text FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos WHERE g.pos IS NULL GROUP BY e.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_deleted FROM gone GROUP BY doc_id),
+result AS (
+  SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(g.n_deleted, 0) AS n_deleted,
+         CASE WHEN g.n_deleted = n.n_lines THEN '' ELSE coalesce(kept.text, '') END AS text
+  FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id)
+SELECT doc_id, n_lines, n_deleted, sha256(text) AS kept_sha256, length(text) AS n_chars FROM result"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLES = {"op3_line_dedup": LINE_DEDUP, "op8_top_k": TOP_K}
