@@ -8,7 +8,8 @@ deleted. The windows that begin and the windows that end at each line cover exac
 
 Reading order is doc_id, then line. Blank lines belong to no run and go only with a document's last line. Null and
 empty texts have no lines and stay as they are, as do rows without doc_id. Rows that repeat a doc_id are read in the
-order of their texts' hashes; of equal rows each is judged like the first. Other columns pass through unchanged.
+order of their texts' hashes; of equal rows each is judged like the first. Other columns pass through unchanged, but
+for those named like the counts that are added, which they replace.
 All of it is DataFrame operations.
 """
 
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     held = held.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.transform(staying, lambda i: F.get(F.col("__lines"), i))).otherwise(F.col("__lines")))
     held = held.withColumn("n_lines", F.coalesce(F.size(F.filter("__lines", _worded)), F.lit(0))).withColumn("n_deleted", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0))
     text = F.when((F.col("n_deleted") > 0) & (F.col("n_deleted") == F.col("n_lines")), F.lit("")).otherwise(F.array_join("__kept", "\n"))
-    return held.withColumn("text", text).drop("__id", "__tie", "__gone", "__hash", "__lines", "__kept").select(*docs.columns, "n_lines", "n_deleted")
+    return held.withColumn("text", text).drop("__id", "__tie", "__gone", "__hash", "__lines", "__kept").select(*(c for c in docs.columns if c not in ("n_lines", "n_deleted")), "n_lines", "n_deleted")
 
 
 def _worded(line: Column) -> Column:

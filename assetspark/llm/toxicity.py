@@ -240,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 
 def score(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFrame:
-    """docs with a score from 0 to 1 of each text."""
+    """docs with a score from 0 to 1 of each text; it replaces a column of its name."""
+    docs = docs.drop(out)
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

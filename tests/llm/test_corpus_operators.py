@@ -361,6 +361,8 @@ def test_line_dedup_edges(docs, empty, spark):
     assert got[2].text is None and got[3].text == "" and got[5].text == LONG and got[6].text == "" and got[6].n_deleted == 1 and got[1].extra == "x"
     assert set(linededup.dedup_lines(docs).columns) == {*docs.columns, "n_lines", "n_deleted"}
     assert linededup.dedup_lines(empty).count() == 0
+    clash = linededup.dedup_lines(docs.withColumnRenamed("extra", "n_lines"))
+    assert sorted(clash.columns) == sorted({*docs.columns, "n_lines", "n_deleted"} - {"extra"}) and clash.count() == len(BASE)
     same = spark.createDataFrame([(1, LONG), (1, LONG), (None, LONG), (2, LONG)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text == "") for r in linededup.dedup_lines(same).collect()) == [(0, False), (1, False), (1, False), (2, True)]
 
