@@ -30,6 +30,7 @@ LENGTH = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 IN_BUCKET = 20_000
+BLANKS = 5_000
 #: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,11 +42,17 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def long_blank(text: str, run: int = BLANKS) -> bool:
+    """Whether a run of white space holds a whole block of `run` characters, as every run of twice that length does."""
+    return any(text[at : at + run].isspace() for at in range(0, len(text) - run + 1, run))
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer's vocabulary, whose ids are in merge order, is merged by a faster library to the same ids; texts in
-    which its special tokens stand go to the tokenizer itself.
+    which its special tokens stand go to the tokenizer itself, as do texts with long runs of white space: the faster
+    library keeps a place to return to for each character of a run and panics at a million.
     """
 
     def __init__(self, path: str):
@@ -60,7 +67,7 @@ class Encoder:
         self.merge = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or long_blank(text):
             from tokenizers import Tokenizer
 
             self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)

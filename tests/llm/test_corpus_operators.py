@@ -257,6 +257,21 @@ def test_packing_repeated_rows(docs):
     assert twice.groupBy("sequence_id", "offset").count().filter("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u00a0", "\u3000"])
+@pytest.mark.parametrize("n", [5_000, 9_999, 1_000_000])
+def test_long_blank_runs_have_the_tokenizers_ids(blank, n):
+    from tokenizers import Tokenizer
+
+    text = "a" + n * blank + "x"
+    ids = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(packing.tokenizer_path()).encode(text) == np.asarray(ids, dtype="<u4").tobytes()
+
+
+def test_packing_a_million_blanks(spark):
+    got = packing.pack_documents(spark.createDataFrame([(1, "a" + 1_000_000 * " " + "x"), (2, "b")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 1_000_002
+
+
 # --- shingle join --------------------------------------------------------------------------------
 
 
