@@ -23,6 +23,7 @@ from assetspark.llm.common import ascii_lower, partitions, settle
 CHAIN = 3
 EXTRA = 8
 FEW = 4
+BLOCK = 1024
 #: The common words of four languages that anchor signatures.
 ANCHORS = (
     "the of and to in is that for it was on with as are be this by from at an a or not which have has had will would can "
@@ -73,23 +74,36 @@ def pruned_jaccard(a: Column, b: Column, least: float) -> Column:
     return F.when(reachable, jaccard(a, b))
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, b, similarity: pairs of representatives of equal fingerprints (least doc_id) that reach least; with classes().
+def index_groups(sets: DataFrame, least: float) -> DataFrame:
+    """sig, band, lo, hi, block, doc_id, n, at: the sets whose prefixes share a signature in a length partition.
 
-    Sets of n signatures fall in length partition floor(log n / log 1/least) and the next one up: two sets of compatible
-    lengths share one. Inside it they meet by the signatures of their prefix in order of rarity, which similar sets share.
+    Groups of more than BLOCK sets are dealt in hashed blocks, every two of which meet in one place.
     """
-    sets = classes(docs).filter("representative = doc_id AND n > 0").select("doc_id", "sigs", "n")
     df = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
     postings = sets.select("doc_id", "n", F.explode("sigs").alias("sig")).join(df, "sig")
     order = Window.partitionBy("doc_id").orderBy("df", "sig")
     prefix = postings.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).filter("df > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least))
     prefix = prefix.withColumn("band", F.explode(F.array(band, band + 1)))
-    a = prefix.select("sig", "band", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = prefix.select("sig", "band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    held = prefix.groupBy("sig", "band").agg(F.count("*").alias("held")).filter("held > 1")
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = prefix.join(held, ["sig", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select("sig", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n", "at")
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, b, similarity: pairs of representatives of equal fingerprints (least doc_id) that reach least; with classes().
+
+    Sets of n signatures fall in length partition floor(log n / log 1/least) and the next one up: two sets of compatible
+    lengths share one. Inside it they meet by the signatures of their prefix in order of rarity, which similar sets share.
+    """
+    sets = classes(docs).filter("representative = doc_id AND n > 0").select("doc_id", "sigs", "n")
+    groups, place = index_groups(sets, least), ["sig", "band", "lo", "hi"]
+    a = groups.select(*place, F.col("block").alias("ba"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = groups.select(*place, F.col("block").alias("bb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     possible = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    pairs = a.join(b, ["sig", "band"]).filter("a < b").filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).filter(possible >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    pairs = a.join(b, place).filter("a < b AND (ba <> bb OR lo = hi)").filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).filter(possible >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb"))
     return pairs.join(x, "a").join(y, "b").withColumn("similarity", pruned_jaccard(F.col("sa"), F.col("sb"), least)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 

@@ -423,6 +423,20 @@ def test_near_pairs_equal_all_pairs(spark):
     assert got
 
 
+def test_near_pairs_of_a_hot_signature_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BLOCK", 4)
+    base = [f"c{i}" for i in range(120)]
+    texts = [(i, " ".join(w if k not in (i, i + 60) else f"e{i}" for k, w in enumerate(base))) for i in range(48)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = spotsigs.classes(docs).filter("doc_id = representative AND n > 0")
+    groups = spotsigs.index_groups(classes, 0.8)
+    whole = groups.groupBy("sig", "band").agg({"doc_id": "approx_count_distinct"}).agg({"approx_count_distinct(doc_id)": "max"}).first()[0]
+    assert whole > 24 and groups.groupBy("sig", "band", "lo", "hi").count().agg({"count": "max"}).first()[0] <= 24
+    sets = {r.doc_id: set(r.sigs) for r in classes.collect()}
+    truth = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert truth and {(r.a, r.b) for r in spotsigs.near_pairs(docs, 0.8).collect()} == truth
+
+
 # --- top k ---------------------------------------------------------------------------------------
 
 
