@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A session that names none gets a temporary one, as in tests."""
+    """The folder that all executors share, spark.checkpoint.dir. Only a local session that names none gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,10 +36,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table of the shared folder and read again: columnar and compressed, for larger results."""
+    """df written as a table of the shared folder and read again: columnar and compressed, for larger results.
+
+    The table is removed when the driver ends.
+    """
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)
 
 

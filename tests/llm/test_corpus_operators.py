@@ -257,14 +257,43 @@ def test_packing_repeated_rows(docs):
     assert twice.groupBy("sequence_id", "offset").count().filter("count > 1").count() == 0
 
 
-@pytest.mark.parametrize("blank", [" ", "\n", "\u00a0", "\u3000"])
-@pytest.mark.parametrize("n", [5_000, 9_999, 1_000_000])
-def test_long_blank_runs_have_the_tokenizers_ids(blank, n):
-    from tokenizers import Tokenizer
+@pytest.mark.parametrize("run", [" ", "\n", "\u00a0", "\u3000", "a"])
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_long_runs_have_the_tokenizers_ids(run, n):
+    text = "a" + n * run + "x"
+    enc = packing.encoder(packing.tokenizer_path())
+    assert enc.encode(text) == np.asarray(enc.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+PIECES = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "bc", "'s", "12", "!!", "\u00a0", "\u3000", "\u2009", "é", "<|endoftext|>", "\x1c", "\x85", "-", "the", "😀", " \n ", " x"]), max_size=14).map("".join)
 
-    text = "a" + n * blank + "x"
-    ids = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert packing.encoder(packing.tokenizer_path()).encode(text) == np.asarray(ids, dtype="<u4").tobytes()
+
+@settings(max_examples=40, deadline=None, phases=[Phase.generate])
+@given(st.lists(PIECES, min_size=50, max_size=50))
+def test_ids_are_those_of_whole_texts(texts):
+    enc = packing.encoder(packing.tokenizer_path())
+    assert enc.encode_batch(texts) == [np.asarray(enc.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_each_bin_is_the_fullest_there_is():
+    """Against all subsets of the pieces left, for small plans."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        left = [int(x) for x in rng.integers(1, 20, int(rng.integers(1, 12)))]
+        counts = defaultdict(int)
+        for x in left:
+            counts[x] += 1
+        for times, held in packing.minimum_slack_plan(dict(counts), 24):
+            bin_ = [s for s, m in held for _ in range(m)]
+            for _ in range(times):
+                rest = list(left)
+                rest.remove(max(rest))
+                sums = {0}
+                for x in rest:
+                    sums |= {y + x for y in sums}
+                assert sum(bin_) == max(y for y in (s + max(left) for s in sums) if y <= 24)
+                for x in bin_:
+                    left.remove(x)
 
 
 def test_packing_a_million_blanks(spark):
