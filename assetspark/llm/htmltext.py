@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
 A page becomes a small tree. Each node's density is its characters per tag, adjusted for the share of them that stands
-in links; the sum of a node's children's densities picks the subtree that holds the article, among the nodes whose
-density reaches the least on the path from the densest node to the body. Its blocks, without noise, are the text.
+in links; a node's sum is that of its child blocks' densities, or its own where it has none. The least density on the
+path from the block of the greatest sum up to the body is the threshold; of each node that reaches it from the body
+down, the subtree of the greatest sum is content. Elements, roles and names of menus, adverts, notices, forms and
+comments are noise and count nowhere. No tag names the article: it is found by density alone.
 
 Null and empty pages, and pages without text, give an empty text. Rows are handled one by one, whole, so repeated rows
-give repeated results; other columns are left alone.
+give repeated results; other columns are left alone. A page is read in one pass, also where quotes, comments or elements
+are left open: a tag without an end is text.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +32,9 @@ CLOSES_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "td", "tfoot",
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 NOISE_NAME = re.compile(r"(?:^|\s)(?:(?:site|page|top|global)[_-]?)?header(?=$|\s)|(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|disclaimer|popup|modal|comments?|replies|respond|disqus|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|masthead|pager|pagination|toolbar|skip|print|tags)(?=$|[\s_-])", re.IGNORECASE)
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The rest of a tag: quotes hold together only after an equals sign. Nothing is tried twice.
+REST = re.compile(r"(?>[^>\"'=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|[=\"'])*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 
 
@@ -57,51 +63,93 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
+def marks(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, name with a slash where a tag ends an element, attributes) of each tag, and the text after the last.
+
+    Comments and declarations have no name. The time is linear: once a tag's end isn't found with quotes heeded, quotes
+    are no longer heeded, and where no > follows, all else is text. What raw elements hold is left out.
+    """
+    at, n, quoted, text = 0, len(page), True, []
+    while at < n:
+        left = page.find("<", at)
+        if left < 0:
+            break
+        text.append(page[at:left])
+        if page.startswith("<!--", left):
+            end = page.find("-->", left + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        name = NAME.match(page, left + 1)
+        if not name and page[left + 1 : left + 2] not in ("!", "?"):
+            text.append("<")
+            at = left + 1
+            continue
+        rest = REST.match(page, name.end() if name else left + 2) if quoted else None
+        quoted = rest is not None
+        end = rest.end() if rest else page.find(">", left) + 1
+        if not end:
+            at = left
+            break
+        at = end
+        if not name:
+            continue
+        tag, held = name[0].lower(), page[name.end() : end - 1]
+        yield "".join(text), tag, held
+        text = []
+        if tag in RAW and not held.rstrip().endswith("/"):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
+    yield "".join(text) + page[at:], "", ""
+
+
 def parse(page: str) -> Node:
     """The tree of a page; tags that are missing, crossed or left open are mended as browsers do in the common cases."""
     root = here = Node("html", None, False)
-    at, n, articles = 0, len(page), 0
-    while at < n:
-        m = MARK.search(page, at)
-        if not m:
-            here.parts.append(page[at:])
-            break
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+    opened: Counter[str] = Counter()
+    seen = set()
+
+    def leave(node: Node) -> Node:
+        """What is open once node and all inside it are closed."""
+        x = here
+        while True:
+            opened[x.tag] -= 1
+            if x is node:
+                return node.parent
+            x = x.parent
+
+    for text, name, held in marks(page):
+        if text:
+            here.parts.append(text)
+        tag = name.lstrip("/")
+        if not tag or tag == "html" or tag in RAW and name != tag:
             continue
-        if m[1]:
-            node = here
+        if name != tag:
+            node = here if opened[tag] > 0 else root
             while node is not root and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
                 node = node.parent
             if node is not root and node.tag == tag:
-                here = node.parent
-            continue
-        if tag in ("html", "body") and root.tag == "html" and tag == "html":
+                here = leave(node)
             continue
         ends, until = ("p",) if tag in CLOSES_P else (), ("div", "article", "section", "main", "td", "li", "blockquote", "body", "button")
         if tag in IMPLIED:
             ends, until = IMPLIED[tag]
-        node = here
-        while ends and node is not root and node.tag not in until:
+        node = here if any(opened[x] > 0 for x in ends) else root
+        while node is not root and node.tag not in until:
+            up = node.parent
             if node.tag in ends:
-                here = node.parent
-                if tag not in ("tr",):
+                here = leave(node)
+                if tag != "tr":
                     break
-            node = node.parent
-        node = Node(tag, here, _is_noise(tag, m[3]))
+            node = up
+        node = Node(tag, here, _is_noise(tag, held))
         here.parts.append(node)
-        if tag == "main" or tag == "article" and not articles:  # what holds the article isn't noise, whatever its name
-            articles += tag == "article"
+        if tag in ("main", "article") and tag not in seen:  # what holds the article isn't noise, whatever its name
+            seen.add(tag)
             for up in _up(here):
                 up.noise &= up.tag in NOISE
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+        if tag in VOID or tag in RAW or held.rstrip().endswith("/") and tag not in BLOCK:
             continue
+        opened[tag] += 1
         here = node
     return root
 
@@ -137,29 +185,36 @@ def measure(root: Node) -> list[Node]:
         base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
         node.density = node.chars / tags * max(0.0, math.log(max(1.0, node.chars / links * tags / link_tags)) / base) if node.chars else 0.0
     for node in nodes:
-        inner = [x.density for x in node.children() if not x.noise and x.tag not in VOID]
-        node.total = sum(inner) if inner else node.density
+        inner = [x.density for x in node.children() if not x.noise and x.tag in BLOCK]
+        node.total = sum(inner) if inner else node.density  # what stands inside a line is no block of its own
     return nodes
 
 
-def content(root: Node) -> Node:
+def content(root: Node) -> set[Node]:
+    """The nodes whose subtrees are the main text.
+
+    The least density on the path from the densest block to the body is the threshold. From the body down, of each node
+    that reaches it, as all above it do, the subtree of the greatest sum is content.
+    """
     nodes = measure(root)
     body = next((x for x in nodes if x.tag == "body"), root)
-    best = max(nodes, key=lambda x: (x.total if x.tag in BLOCK else -1.0, -x.tags))
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
-        node = node.parent
-    least = min(x.density for x in path)
-    best = max((x for x in nodes if x.tag in BLOCK and x.density >= least), key=lambda x: (x.total, -x.tags), default=best)
-    node = best  # the article that the subtree is a part of, where the page names one
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is None:
-        node = max((x for x in nodes if x.tag == "article" and any(y is best for y in _up(x))), key=lambda x: x.total, default=None)
-    return node or best
+    blocks_ = [x for x in nodes if x.tag in BLOCK or x is root]
+    densest = max(blocks_, key=lambda x: x.total)
+    path = [x.density for x in _up(densest)]
+    least = min(path[: 1 + next((k for k, x in enumerate(_up(densest)) if x is body), len(path) - 1)])
+    best = {}
+    for node in reversed(nodes):
+        inner = [best[x] for x in node.children() if not x.noise and x in best and best[x].chars]
+        own = [node] if node in (body, root) or node.tag in BLOCK else []
+        if own or inner:
+            best[node] = max(own + inner, key=lambda x: (x.total, x.chars))
+    found, todo = set(), [body]
+    while todo:
+        node = todo.pop()
+        if node.density >= least and node in best:
+            found.add(best[node])
+            todo += [x for x in node.children() if not x.noise]
+    return found
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -168,29 +223,33 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def blocks(top: Node) -> list[str]:
+def blocks(root: Node, found: set[Node]) -> list[str]:
+    """The texts of the blocks of the subtrees found, in page order."""
     out: list[list[str]] = [[]]
-    todo: list[Node | str | None] = [top]
+    todo: list[tuple[Node | str | None, bool]] = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if x is None:
             out.append([])
         elif isinstance(x, str):
-            out[-1].append(x)
+            if inside:
+                out[-1].append(x)
         elif x.tag in ("br", "wbr"):
             out[-1].append(" " if x.tag == "br" else "")
-        elif not x.noise or x is top:
+        elif not x.noise or x in found:
+            inside = inside or x in found
             if x.tag in BLOCK:
                 out.append([])
-                todo.append(None)
-            todo += reversed(x.parts)
+                todo.append((None, inside))
+            todo += [(y, inside) for y in reversed(x.parts)]
     return [" ".join(html.unescape("".join(x)).split()) for x in out]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return " ".join(x for x in blocks(content(parse(page))) if x)
+    root = parse(page)
+    return " ".join(x for x in blocks(root, content(root)) if x)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -148,6 +149,47 @@ def test_main_text():
     assert htmltext.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def test_density_finds_the_article_without_its_tag(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert htmltext.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", r.html or "")) == htmltext.main_text(r.html)
+
+
+def test_densities_equal_a_plain_count(spark, sf_dir):
+    """Characters, tags and sums of every node counted anew from its subtree."""
+
+    def under(node):
+        kept = [x for x in node.children() if not x.noise]
+        return [node] + [y for x in kept for y in under(x)]
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(20).collect():
+        root = htmltext.parse(r.html)
+        nodes = htmltext.measure(root)
+        link = lambda n: any(u.tag == "a" for u in htmltext._up(n))
+        for n in nodes:
+            inside = under(n)
+            text = [(len(x.strip()), link(m)) for m in inside for x in m.parts if isinstance(x, str)]
+            assert (n.chars, n.tags) == (sum(k for k, _ in text), len(inside) - 1)
+            kids = [x.density for x in n.children() if not x.noise and x.tag in htmltext.BLOCK]
+            assert math.isclose(n.total, sum(kids) if kids else n.density)
+            if n.chars and not any(linked for _, linked in text) and n is not root:
+                ratio = root.link_chars / max(1, root.chars)
+                assert math.isclose(n.density, n.chars / max(1, n.tags) * math.log(max(1, n.chars * max(1, n.tags))) / math.log(n.chars / n.chars * 0 + ratio * n.chars + math.e))
+
+
+@pytest.mark.parametrize("part", ['<a b="', "<a b='", "<b>", "<p>", "<div>", "<td>", "<!", "<main>", "x<", "<script>", "<a class ", "</p>", "<li>", "&amp"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.process_time()
+    htmltext.main_text("<div>" * 1000 + part * (1_000_000 // len(part)) + "</section>" * 1000)
+    assert time.process_time() - began < 20
+
+
+def test_unclosed_marks():
+    assert htmltext.main_text('<p>one</p><p title="x>two</p><p>three') == "one two three"
+    assert htmltext.main_text("<p>1 < 2 and 3 > 2 <") == "1 < 2 and 3 > 2 <"
+    assert htmltext.main_text("<p>a<!-- b") == "a" and htmltext.main_text("<p>it's <b title=\"a > b\">bold") == "it's bold"
+    assert htmltext.main_text("<p>kept<script>var a = 1;</script> text<style>p{}") == "kept text"
+
+
 def test_main_text_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (2, None, None, "y"), (None, "v", "", "z")], "page_id long, url string, html string, text string")
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in htmltext.extract_main_text(pages).collect()}
