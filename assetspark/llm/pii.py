@@ -1,7 +1,13 @@
-"""Personal data: regular expressions propose spans, checksums confirm them, words before them adjust a score.
+"""Personal data: regular expressions propose spans, checksums confirm them, words near them adjust a score.
+
+A kind has a score of its own; a context word of the kind that stands within CONTEXT code points before or after the
+span, up to the next match of the kind, adds NEAR. Spans of the added kinds stay where the score reaches `least`, so
+account numbers, which a checksum confirms, stay anywhere, local phone numbers and secrets only near a context word.
+Spans of the base kinds always stay; their score is reported.
 
 Everything is a column expression, so a row is handled where it is read: no shuffle, no state, whole texts.
-Null and empty texts have no spans. Repeated rows give repeated results; other columns are left as they are.
+Null and empty texts have no spans. Rows are handled one by one: repeated rows, also those without doc_id, give
+repeated results; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -11,9 +17,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points before a span in which context words count.
-CONTEXT = 40
-SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string,before:string>>"
+#: Code points on either side of a span in which context words count, and what one adds to the score.
+CONTEXT, NEAR, LEAST = 40, 0.3, 0.5
+SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string,before:string,after:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -57,46 +63,62 @@ class Kind:
     context: tuple[str, ...] = field(default_factory=tuple)
 
 
+PHONE_WORDS = ("phone", "telephone", "tel", "call", "mobile", "fax", "téléphone", "telefon", "teléfono")
 #: The base kinds in their order, then what the operator adds.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda v: F.lit(True), 0.9, ("mail", "contact", "courriel")),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", _parts_below_256, 0.7, ("ip", "host", "server", "address", "addr")),
-    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+", "[0-9]", lambda v: F.length(_digits(v)).between(14, 19) & luhn(v), 0.7, ("card", "visa", "credit", "carte", "karte", "tarjeta")),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: F.length(_digits(v)).between(10, 15), 0.8, ("phone", "tel", "call", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte")),
-    Kind("local_phone", r"(?<![0-9+)(\x20-]\x20)(?<![0-9+(])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])", r"\([0-9]{3}\)", lambda v: F.lit(True), 0.5, ("phone", "tel", "call", "mobile", "fax")),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda v: F.lit(True), 0.7, ("mail", "email", "e-mail", "contact", "courriel")),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", _parts_below_256, 0.5, ("ip", "host", "server", "address", "addr")),
+    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+", "[0-9]", lambda v: F.length(_digits(v)).between(14, 19) & luhn(v), 0.6, ("card", "visa", "credit", "carte", "karte", "tarjeta")),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: F.length(_digits(v)).between(10, 15), 0.6, PHONE_WORDS),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte")),
+    Kind("local_phone", r"(?<![0-9+)(\x20-]\x20)(?<![0-9+(])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])", r"\([0-9]{3}\)", lambda v: F.lit(True), 0.4, PHONE_WORDS),
+    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])", "[A-Za-z0-9+/_-]{20}", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 0.4, ("token", "secret", "password", "passwd", "pwd", "key", "api_key", "apikey", "credential", "bearer")),
 )
 BASE = ("email", "ip", "card", "phone")
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _proposed(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of one kind in reading order. Places come from the pieces between the matches."""
     none = F.array().cast(SPAN)
-    pieces = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"))
 
     def add(acc, piece):
         start = acc["at"] + F.length(piece["gap"])
         end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), piece["hit"].alias("value"), F.right(piece["gap"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.when(piece["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
+        sides = F.right(piece["gap"], F.lit(CONTEXT)).alias("before"), F.left(piece["next"], F.lit(CONTEXT)).alias("after")
+        span = F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), piece["hit"].alias("value"), *sides)
+        keep = F.coalesce(kind.valid(piece["hit"]), F.lit(False)) & piece["hit"].isNotNull()
+        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    def spans(gaps):
+        pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
     guard = F.contains(text, F.lit("@")) if kind.guard == "@" else text.rlike(kind.guard)
-    return F.filter(F.when(guard, found).otherwise(none), lambda s: kind.valid(s["value"]))
+    return F.when(guard, _bound(F.split(text, kind.pattern, -1), spans)).otherwise(none)
+
+
+def near_word(kind: Kind, side: Column) -> Column:
+    """Whether one of the kind's context words stands in side as a whole word."""
+    return F.lower(side).rlike(r"(?<![\p{L}0-9])(?:" + "|".join(kind.context) + r")(?![\p{L}0-9])")
 
 
 def _scored(spans: Column) -> Column:
     def score(s):
-        kinds = F.lit(0.0)
+        total = F.lit(0.0)
         for kind in KINDS:
-            near = F.lower(s["before"]).rlike("|".join(kind.context))
-            kinds = F.when(s["kind"] == kind.name, F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0))).otherwise(kinds)
-        return kinds
+            near = near_word(kind, s["before"]) | F.coalesce(near_word(kind, s["after"]), F.lit(False))
+            total = F.when(s["kind"] == kind.name, F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, NEAR).otherwise(0.0))).otherwise(total)
+        return F.round(total, 2)
 
     return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score(s).alias("score")))
 
 
-def find_pii(df: DataFrame, text: str = "text", out: str = "pii", least: float = 0.5) -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", out: str = "pii", least: float = LEAST) -> DataFrame:
     """df with column out: array of (kind, rank, start, end, value, score), by start, then kind as listed in KINDS.
 
     Places count code points, ends are exclusive. Spans of the added kinds with a score under least are left out.
@@ -114,8 +136,9 @@ def joined(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Per row of docs: counts of the base kinds, the digest of their spans, all spans as text."""
+    """Per row of docs: counts of the base kinds, the digest of their spans, all spans as text, their number and scores."""
     found = find_pii(docs.select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     count = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-    return found.select("doc_id", *(count(name) for name in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",")
+    return found.select("doc_id", *(count(name) for name in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), scores.alias("scores"))

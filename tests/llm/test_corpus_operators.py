@@ -130,10 +130,60 @@ def test_pii_long_runs_stay_linear(spark):
     assert [r.spans for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == [""] * 5
 
 
+def added_truth(text):
+    """The added kinds, by plain matching, with the context rule."""
+    context = {"iban": pii.KINDS[4].context, "local_phone": pii.KINDS[5].context, "secret": pii.KINDS[6].context}
+    patterns = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "local_phone": r"(?<![0-9+)(\x20-]\x20)(?<![0-9+(])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])", "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])"}
+    out = []
+    for kind, p in patterns.items():
+        hits = list(re.finditer(p, text))
+        for k, m in enumerate(hits):
+            v = m[0].replace(" ", "")
+            if kind == "iban" and not (15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1):
+                continue
+            if kind == "secret" and not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
+                continue
+            before = text[max(hits[k - 1].end() if k else 0, m.start() - 40) : m.start()]
+            after = text[m.end() : min(hits[k + 1].start() if k + 1 < len(hits) else len(text), m.end() + 40)]
+            near = any(re.search(rf"(?<![^\W_])(?:{w})(?![^\W_])", side.lower()) for w in context[kind] for side in (before, after))
+            if kind == "iban" or near:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return sorted(out)
+
+
 def test_added_kinds_and_context(spark):
-    text = "pay to IBAN DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01"
-    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
-    assert [(s.kind, s.value) for s in r.pii] == [("iban", "DE89 3704 0044 0532 0130 00")] and r.pii[0].score == 1.0
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    cases = [
+        ("pay to IBAN DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01", ["iban"], [1.0]),
+        (f'x token = "{key}" y', ["secret"], [0.7]),
+        (f"commit {key} y", [], []),
+        (f"{key} is the password", ["secret"], [0.7]),
+        (f"monkeys {key} tokenised", [], []),
+        (f"token {'.' * 60} {key}", [], []),
+        ("token abcdefghijklmnopqrstuvwxyz", [], []),
+        ("call (499) 555-6503 now", ["local_phone"], [0.7]),
+        ("(499) 555-6503", [], []),
+        ("a ship 10.0.0.1", ["ip"], [0.5]),
+        ("the ip: 10.0.0.1", ["ip"], [0.8]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = rows(pii.find_pii(frame))
+    assert [([s.kind for s in got[i].pii], [s.score for s in got[i].pii]) for i in range(len(cases))] == [(k, s) for _, k, s in cases]
+    digest = rows(pii.pii_digest(frame))
+    assert digest[1].n_spans == 1 and digest[1].scores == "0.70" and digest[1].spans.startswith("secret:")
+    repeated = pii.pii_digest(spark.createDataFrame([(None, "a@b.c"), (None, "a@b.c"), (1, None)], "doc_id long, text string").withColumn("pii", pii.F.lit(1)))
+    assert sorted(r.n_email for r in repeated.collect()) == [0, 1, 1]
+
+
+ADDED = st.lists(st.sampled_from(["token", " ", "key", ": ", "24be64439e3e49cf46b2d7c9", "(499) 555-6503", "call", "monkey", "é", ", ", "DE89 3704 0044 0532 0130 00", "abcdefghijklmnopqrstuvw", "x", "\n", "=", '"', "tel", "......................................."]), max_size=16).map("".join)
+
+
+@settings(max_examples=2, deadline=None, phases=[Phase.generate])
+@given(st.lists(ADDED, min_size=80, max_size=80))
+def test_added_spans_equal_plain_matching(spark, texts):
+    got = rows(pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        assert sorted(s for s in got[i].spans.split(",") if s and s.split(":")[0] not in KINDS) == added_truth(text), repr(text)
 
 
 # --- pages ---------------------------------------------------------------------------------------
