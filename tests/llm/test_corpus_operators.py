@@ -74,7 +74,44 @@ def test_licenses(docs, empty):
     got = rows(licenses.license_digest(docs))
     assert {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in got.items()} == {i: license_truth(t) for i, t, *_ in BASE}
     assert licenses.license_digest(empty).count() == 0
-    assert licenses.license_digest(docs.union(docs)).count() == len(BASE)
+    twice = licenses.license_digest(docs.union(docs)).collect()
+    assert len(twice) == 2 * len(BASE) and all((r.n_words, r.n_base, r.first_word) == (got[r.doc_id].n_words, got[r.doc_id].n_base, got[r.doc_id].first_word) for r in twice)
+    odd = docs.sparkSession.createDataFrame([(None, "cc by", 1), (None, "cc by", 2), (None, None, 3), (4, "cc by", 4), (4, "x", 5)], "doc_id long, text string, template int")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_base) for r in licenses.license_digest(odd).collect()) == [(0, 0, 0), (0, 2, 1), (0, 2, 1), (4, 1, 0), (4, 2, 1)]
+
+
+def coverage_truth(text, template):
+    """The best share of a template's words in runs that a text holds within the slack of one place, by plain search."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    k, want = licenses.grams(template)
+    held = defaultdict(set)
+    for i in range(len(words) - k + 1):
+        for j in range(len(want) - k + 1):
+            if words[i : i + k] == want[j : j + k]:
+                held[i - j].add(j)
+    best, group, last = 0, set(), None
+    for d in sorted(held):
+        group = group | held[d] if last is not None and template.slack and d - last <= template.slack else held[d]
+        last = d
+        best = max(best, len({x for j in group for x in range(j, j + k)}) / len(want))
+    return best
+
+
+def test_license_spans_equal_plain_search(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for t in licenses.TEMPLATES * 2:
+        w = t.words.split()
+        for _ in range(int(rng.integers(0, 1 + len(w) // 12))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = ["changed"] * int(rng.integers(0, 3))
+        texts.append("Some words before. " + " ".join(w) + " and after.")
+    got = rows(licenses.license_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        shares = [(coverage_truth(text, t), t) for t in licenses.TEMPLATES]
+        found = [(c, t.label) for c, t in shares if c >= t.least]
+        assert got[i].labels == ",".join(sorted({label for _, label in found})) and math.isclose(got[i].score, max((c for c, _ in found), default=0.0))
+    assert any(0 < r.score < 1 for r in got.values())
 
 
 def test_license_wordings_survive_a_changed_word(spark):
