@@ -558,10 +558,53 @@ def test_fingerprints(docs, empty):
     assert spotsigs.fingerprint_digest(empty).count() == 0
 
 
+def signature_truth(text):
+    """The chains that follow common words, as tuples of words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    found = set()
+    for i, x in enumerate(w):
+        if x in spotsigs.ANCHORS:
+            chain = [y for y in w[i + 1 :] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            if chain:
+                found.add(tuple(chain))
+    content = [y for y in w if y not in spotsigs.ANCHORS]
+    return found or {tuple(content[i : i + spotsigs.CHAIN]) for i in range(len(content))} or ({("whole", text)} if text else set())
+
+
+def test_likeness_equals_that_of_plain_signature_sets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    floor = lambda x: x if x >= spotsigs.LEAST else 0.0
+    got = rows(spotsigs.fingerprint_digest(docs))
+    assert set(got) == set(ids)
+    for k, i in enumerate(ids):
+        t, following = texts[i], texts[ids[(k + 1) % len(ids)]]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + following[:n]
+        own = signature_truth(t)
+        assert len(got[i].fingerprint) == spotsigs.DIGITS * len(own) and len(got[i].edited_fingerprint) == spotsigs.DIGITS * len(signature_truth(edited))
+        assert math.isclose(got[i].near_edited, floor(alike(own, signature_truth(edited)))) and math.isclose(got[i].near_next, floor(alike(own, signature_truth(following))))
+
+
 def test_fingerprint_of_one_document_and_repeats(spark):
-    one = spark.createDataFrame([(5, "abcdefgh"), (5, "abcdefgh"), (None, "zz")], "doc_id long, text string")
+    one = spark.createDataFrame([(5, "abcdefgh"), (5, "abcdefgh")], "doc_id long, text string")
     r = spotsigs.fingerprint_digest(one).collect()
-    assert len(r) == 1 and r[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r[0].near_next == 1.0
+    assert len(r) == 2 and r[0] == r[1] and r[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r[0].near_next == 1.0
+
+
+def test_fingerprints_of_clashing_and_missing_ids(spark):
+    odd = spark.createDataFrame([(5, "abcdefgh", 1), (None, "zz", 2), (5, "the quick brown fox runs", 3), (7, None, 4), (None, "zz", 5), (1, "12345678", 6)], "doc_id long, text string, id int")
+    got = spotsigs.fingerprint_digest(odd).collect()
+    fives = [r for r in got if r.doc_id == 5]
+    assert len(got) == 6 and {r.n_chars for r in fives} == {8, 24}
+    order = sorted(fives, key=lambda r: r.n_chars)
+    texts = {8: "abcdefgh", 24: "the quick brown fox runs"}
+    sums = {n: {hashlib.sha256((texts[n][: n - n // 4] + follow[: n // 4]).encode()).hexdigest() for follow in (texts[32 - n], "")} for n in texts}
+    assert all(r.edited_sha256 in sums[r.n_chars] for r in order)
+    missing = [r for r in got if r.doc_id is None]
+    assert len(missing) == 2 and missing[0] == missing[1] and missing[0].n_chars == 2
 
 
 def test_near_pairs_equal_all_pairs(spark):
