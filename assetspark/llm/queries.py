@@ -18,7 +18,7 @@ QUERIES = {
     "op10_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
 }
 
-#: A line goes if it lies in a run of 50 words or more that also stands at an earlier place. Runs are looked at from
+#: A line goes if it lies in a run of 3 words or more that also stands at an earlier place. Runs are looked at from
 #: each line on and up to each line; lines without words belong to none.
 LINE_DEDUP = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -27,8 +27,8 @@ worded AS (
   SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
   FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM worded),
-ahead AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.k),
-behind AS (SELECT a.doc_id, max(b.k) AS i, a.k AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k <= a.k AND a.upto - b.upto + b.words >= 50 GROUP BY a.doc_id, a.k),
+ahead AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 3 GROUP BY a.doc_id, a.k),
+behind AS (SELECT a.doc_id, max(b.k) AS i, a.k AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k <= a.k AND a.upto - b.upto + b.words >= 3 GROUP BY a.doc_id, a.k),
 runs AS (SELECT doc_id, i, j FROM ahead UNION SELECT doc_id, i, j FROM behind),
 texts AS (SELECT r.doc_id, r.i, r.j, string_agg(c.line, chr(10) ORDER BY c.k) AS content FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.k BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j),
 firsts AS (SELECT content, min(doc_id * 1000000 + i) AS first_pos FROM texts GROUP BY content),

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspark.llm.common import ascii_lower, partitions, settle
+from assetspark.llm.common import ascii_lower, partitions, settle, stored
 
 CHAIN = 3
 BLOCK = 1024
@@ -90,6 +90,7 @@ def index_groups(sets: DataFrame, least: float) -> DataFrame:
 
     Groups of more than BLOCK sets are dealt in hashed blocks, every two of which meet in one place.
     """
+    sets = stored(sets, "sets")
     df = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
     postings = sets.select("doc_id", "n", F.explode("sigs").alias("sig")).join(df, "sig")
     order = Window.partitionBy("doc_id").orderBy("df", "sig")

@@ -433,11 +433,11 @@ def test_packing_a_million_blanks(spark):
 # --- shingle join --------------------------------------------------------------------------------
 
 
-def join_truth(texts):
+def join_truth(texts, words=3, num=9, den=10):
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
     parent = {i: i for i in texts}
 
     def find(x):
@@ -447,7 +447,7 @@ def join_truth(texts):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {i: (len(sets[i]), find(i)) for i in texts}
@@ -478,6 +478,13 @@ def test_shingle_join(spark, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_shingle_join_answers_every_row(spark):
+    same = "a b c d e f g h i j k"
+    docs = spark.createDataFrame([(None, same), (None, same), (4, same), (4, same), (4, "z y x w v"), (9, "z y x w v"), (None, "only here"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id or 0) for r in jaccard.linked(docs).collect())
+    assert got == [(0, 0, 0), (0, 1, 0), (0, 9, 4), (0, 9, 4), (4, 3, 4), (4, 9, 4), (4, 9, 4), (9, 3, 4)]
+
+
 def test_shingle_join_in_blocks(spark, monkeypatch):
     """Lists longer than a block are dealt in pairs of blocks and lose no link."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)

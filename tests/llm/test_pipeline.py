@@ -37,14 +37,51 @@ def test_toxic_documents_go(spark, sf_dir, steps):
 
 
 def test_later_runs_go(steps):
-    truth = dedup_truth({r.doc_id: r.text for r in steps[1]}, 50)
-    assert {r.doc_id: r.text for r in steps[2]} == {i: t for i, t in truth.items() if t or not {r.doc_id: r.text for r in steps[1]}[i]}
+    """Repeated lines of three words or more, but for texts under 50 words that are nothing else."""
+    before = {r.doc_id: r.text for r in steps[1]}
+    truth = dedup_truth(before, 3)
+    spared = {i: before[i] for i, t in truth.items() if t == "" and before[i] and len(before[i].encode().split()) < corpus_pipeline.PASSAGE}
+    assert spared and {r.doc_id: r.text for r in steps[2]} == {i: t for i, t in truth.items() if t or not before[i]} | spared
     assert all(r.n_chars == len(r.text) for r in steps[2])
 
 
 def test_one_of_each_group_stays(steps):
-    truth = join_truth({r.doc_id: r.text for r in steps[2]})
-    assert {r.doc_id for r in steps[3]} == {i for i, (_, c) in truth.items() if i == c}
+    """Near copies at five words and a similarity of 0.8."""
+    truth = join_truth({r.doc_id: r.text for r in steps[2]}, 5, 4, 5)
+    assert {r.doc_id for r in steps[3]} == {i for i, (_, c) in truth.items() if i == c} and len(steps[3]) < len(steps[2])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, copies string, n_lines string, n_deleted int, score string, rest string, tag int, id int, row string, size int, component_id int, `a.b` string"
+LINE = "one line of words that is long enough to be a passage by itself "
+
+
+def odd_rows(spark):
+    extra = ("c", "l", 7, "s", "r", 3, 4, "w", 5, 6, "dot")
+    texts = [(1, "alpha beta gamma delta epsilon"), (2, None), (None, None), (None, "lonely words without an id here"), (None, "lonely words without an id here"), (3, ""), (4, LINE * 6), (5, LINE * 6), (5, LINE * 6), (6, "first\n" + LINE * 6), (7, "x"), (7, "some other text of the same id")]
+    return spark.createDataFrame([(i, t, "en", None if i == 6 else f"s{(i or 0) % 3}", len(t or ""), *extra) for i, t in texts], ODD)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_odd_rows_and_columns(spark, sf_dir, k):
+    """Nulls, equal rows, clashing columns and empty tables, stage by stage."""
+    docs, stage = odd_rows(spark), corpus_pipeline.STAGES[k][1]
+    out = stage(spark, docs, sf_dir)
+    assert out.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+    if k == 4:
+        return
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert all((r.copies, r.n_lines, r.n_deleted, r.score, r.rest, r.tag, r["a.b"]) == ("c", "l", 7, "s", "r", 3, "dot") for r in kept)
+    texts = sorted(((r.doc_id or 0), r.text or "") for r in kept)
+    if k == 0:
+        assert len(kept) == 12
+    if k == 1:
+        assert [t for i, t in texts if i in (4, 5)] == [LINE * 6] and [t for i, t in texts if i == 6] == ["first"] and len(kept) == 10
+    if k == 2:
+        assert [i for i, _ in texts] == [0, 0, 1, 2, 3, 4, 6, 7] or [i for i, _ in texts] == [0, 0, 1, 2, 3, 4, 7]
+    if k == 3:
+        most = Counter((r.doc_id, r.text) for r in docs.collect())
+        assert all(n <= 3 * most[key] for key, n in Counter((r.doc_id, r.text) for r in kept).items())
 
 
 def test_mix_nears_its_targets(steps):
