@@ -657,22 +657,56 @@ def top_truth(vectors, every, k):
     return out
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     data += [(1000 + i, data[0][1]) for i in range(20)]  # ties
-    bad = [(2000, None), (2050, [float("nan")] * 8), (2100, [float("inf")] + [0.0] * 7), (2150, [None] * 8), (2200, [1.0]), (None, [0.0] * 8)]
-    df = spark.createDataFrame([(i, v, "x") for i, v in data + bad], "vec_id long, embedding array<float>, label string")
-    got = defaultdict(list)
-    for r in topk.top_k(df, 5, 50).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    exact = [(i, np.floor(np.asarray(v, dtype=np.float32).astype(np.float64) * 256).astype(np.int64)) for i, v in data]
-    assert {q: sorted(x) for q, x in got.items()} == top_truth(exact, 50, 5)
+    bad = [(2000, None), (2050, [float("nan")] * 8), (2100, [float("inf")] + [0.0] * 7), (2150, [None] * 8), (None, [0.0] * 8)]
+    short = [(2200, [1.0]), (2250, []), (2251, [2.0, -1.0])]  # count as if they ended in zeros
+    df = spark.createDataFrame([(i, v, "x") for i, v in data + short + bad], "vec_id long, embedding array<float>, label string")
+    exact = [(i, np.floor(np.asarray([*v, *[0.0] * (8 - len(v))], dtype=np.float32).astype(np.float64) * 256).astype(np.int64)) for i, v in data + short]
+    for page in (1024, 16):  # one page, and a tree of several levels
+        monkeypatch.setattr(topk, "PAGE", page)
+        monkeypatch.setattr(topk.build, "__defaults__", (page,))
+        got = defaultdict(list)
+        for r in topk.top_k(df, 5, 50).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        assert {q: sorted(x) for q, x in got.items()} == top_truth(exact, 50, 5)
     assert topk.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
 
 
+def test_top_k_of_large_components(spark):
+    """Scores past double precision are exact; sums past a long count as its ends and keep their order."""
+    big = [(0, [1e5 + 1 / 256, 1.0, 0.0]), (1, [1e5 + 3 / 256, 0.5, 0.0]), (2, [1e5 + 2 / 256, 0.25, 1.0]), (3, [1e10, 0.0, 1.0]), (4, [1e300, 0.0, 0.0]), (5, [2e10, 1.0, 0.0]), (50, [-1e10, 1.0, 0.0]), (6, [-1e300, 0.0, 0.0])]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), 5, 50).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ends = lambda x: min(max(x, topk.LEAST_LONG), topk.MOST_LONG)
+    whole = {i: [ends(math.floor(x * 256)) for x in v] for i, v in big}
+    for q in (0, 50):
+        order = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, ends(-s)) for n, (s, i) in enumerate(order)]
+
+
+def test_tree_covers_its_vectors():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-300, 300, (2000, 6)).astype(np.float64)
+    tree = topk.split(x[:400], 40)
+    tree.radius, tree.norm = np.zeros(len(tree.centre)), np.zeros(len(tree.centre))
+    leaf = np.zeros(len(x), int)
+    for at, node, d in tree.route(x):
+        assert np.allclose(d, np.sqrt(((x[at] - tree.centre[node]) ** 2).sum(1)), atol=1e-6)
+        tree.radius[node], tree.norm[node], leaf[at] = d.max() * (1 + 1e-6), (x[at] ** 2).sum(1).max(), node
+    assert max(len(c) for c in tree.children) <= topk.FAN and 40 <= sum(not c for c in tree.children) <= 40 + topk.FAN
+    q = x[:50]
+    scores = q @ x.T
+    least = np.sort(scores, 1)[:, -5]
+    alive = tree.reached(q, least)
+    assert all(alive[i, leaf[j]] for i in range(50) for j in np.flatnonzero(scores[i] >= least[i])) and alive[:, [not c for c in tree.children]].mean() < 0.9
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
