@@ -4,11 +4,11 @@ Words and their first four and five bytes are hashed into one embedding table; f
 words of a whole text, each pooled by its maximum; a logistic layer weighs the maxima. The table starts from how far a
 hashed feature's labelled documents depart from the rest, and everything is then trained by gradient steps.
 
-Trained on the driver on a bounded sample: at most `sample` labelled rows, those of the lowest hash of doc_id among the
-rows the caller offers. Scoring runs in Arrow batches on the executors, on all rows and whole texts. The language that
+Trained on the driver on a bounded sample: at most SAMPLE labelled rows and SAMPLE_BYTES of text, those of the lowest
+hash of doc_id among the rows the caller offers. Scoring runs in Arrow batches on the executors, on all rows and whole texts. The language that
 calibrates a threshold is guessed from the text's own function words, so scores depend on texts alone.
 
-Null and empty texts have a score (no evidence). Repeated rows are scored alike. Without labels of both kinds every
+Null and empty texts have a score (no evidence). Every row is scored, repeated ones and those without doc_id alike. Without labels of both kinds every
 score is 0. Other columns are not read.
 """
 
@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assetspark.llm.common import NOT_WORD, WordHasher, in_slices, utf8
+from assetspark.llm.common import NOT_WORD, WordHasher, in_slices, settle, utf8
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 THRESHOLD = 0.7
 BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PADS = max(WIDTHS) - 1
@@ -132,6 +132,38 @@ def _evidence(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.clip(out / 4, -2, 2)
 
 
+def gradients(model: Model, ids: np.ndarray, counts: np.ndarray, labels: np.ndarray):
+    """The slopes of the mean cross entropy of a batch: of filters, shifts and weights, of the bias, and the table's rows with theirs."""
+    starts = np.cumsum(counts + PADS) - counts - PADS
+    x, top = model.pooled(ids, counts)
+    z = top @ model.weights + model.bias
+    d = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels) / len(labels)
+    by_filter, by_shift = [np.zeros_like(f) for f in model.filters], [np.zeros_like(s) for s in model.shifts]
+    touched, pulled = [], []
+    for w, width in enumerate(WIDTHS):
+        cols = slice(w * FILTERS, (w + 1) * FILTERS)
+        y = x @ model.filters[w][0]
+        for k in range(1, width):
+            y[:-k] += x[k:] @ model.filters[w][k]
+        y += model.shifts[w]
+        y[ids[:, 0] == 0] = -1
+        for b in np.flatnonzero(counts):
+            at = starts[b] + y[starts[b] : starts[b] + counts[b]].argmax(0)
+            g = (d[b] * model.weights[cols] * (top[b, cols] > 0)).astype(np.float32)
+            by_shift[w] += g
+            for k in range(width):
+                by_filter[w][k] += (x[at + k] * g[:, None]).T
+                for c in range(3):
+                    touched.append(ids[at + k, c])
+                    pulled.append(model.filters[w][k].T * g[:, None])
+    rows, inverse = np.unique(np.concatenate(touched), return_inverse=True) if touched else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    by_row = np.zeros((len(rows), DIM), np.float32)
+    if touched:
+        np.add.at(by_row, inverse, np.concatenate(pulled))
+    by_row[rows == 0] = 0
+    return [*by_filter, *by_shift, (top.T @ d).astype(np.float32)], float(d.sum()), rows, by_row
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, dtype=np.float64)
@@ -156,45 +188,16 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
         for i in range(0, len(fit), batch):
             chosen = fit[i : i + batch]
             ids, counts = np.concatenate([parts[j][0] for j in chosen]), np.concatenate([parts[j][1] for j in chosen])
-            starts = np.cumsum(counts + PADS) - counts - PADS
-            x, top = model.pooled(ids, counts)
-            z = top @ weights + model.bias
-            d = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels[chosen]) / len(chosen)
-            grads = [None, *(np.zeros_like(f) for f in filters), *(np.zeros_like(s) for s in shifts), (top.T @ d).astype(np.float32)]
-            touched, pulled = [], []
-            for w, width in enumerate(WIDTHS):
-                cols = slice(w * FILTERS, (w + 1) * FILTERS)
-                y = x @ filters[w][0]
-                for k in range(1, width):
-                    y[:-k] += x[k:] @ filters[w][k]
-                y += shifts[w]
-                y[ids[:, 0] == 0] = -1
-                for b in range(len(chosen)):
-                    if not counts[b]:
-                        continue
-                    at = starts[b] + y[starts[b] : starts[b] + counts[b]].argmax(0)
-                    live = top[b, cols] > 0
-                    g = (d[b] * weights[cols] * live).astype(np.float32)
-                    grads[1 + len(WIDTHS) + w] += g
-                    for k in range(width):
-                        grads[1 + w][k] += (x[at + k] * g[:, None]).T
-                        pull = filters[w][k].T * g[:, None]
-                        for c in range(3):
-                            touched.append(ids[at + k, c])
-                            pulled.append(pull)
+            dense, by_bias, rows, by_row = gradients(model, ids, counts, labels[chosen])
+            grads = [None, *dense]
             for s, (slot, square, g) in enumerate(zip(slots, squares, grads, strict=True)):
                 if s:
                     square += g * g
                     slot -= rate * g / np.sqrt(square)
-            if touched:
-                rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                g = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(g, inverse, np.concatenate(pulled))
-                g[rows == 0] = 0
-                squares[0][rows] += g * g
-                table[rows] -= rate * g / np.sqrt(squares[0][rows])
-            bias_square += d.sum() ** 2
-            model.bias -= rate * d.sum() / np.sqrt(bias_square)
+            squares[0][rows] += by_row * by_row
+            table[rows] -= rate * by_row / np.sqrt(squares[0][rows])
+            bias_square += by_bias**2
+            model.bias -= rate * by_bias / np.sqrt(bias_square)
     model.cut = _calibrated(model, [parts[i] for i in kept], labels[kept])
     return model
 
@@ -227,12 +230,22 @@ def part_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1; None if they aren't of both kinds."""
-    usable = labels.filter(F.col("toxic").isNotNull() & (part_of(F.col("doc_id")) != 1)).select("doc_id", "toxic")
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable").reset_index(drop=True)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model | None:
+    """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1; None if they aren't of both kinds.
+
+    At most `sample` rows of distinct (doc_id, text, label) and `most` bytes of text, in the order of a hash of doc_id,
+    so that neither repeated doc_ids nor very long texts grow what the driver holds.
+    """
+    order = [F.xxhash64("doc_id"), "doc_id", "toxic"]
+    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (part_of(F.col("doc_id")) != 1)).select("doc_id", "toxic").distinct()
+    first = usable.orderBy(*order).limit(sample)  # of bounded size, here and below
+    tied = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    held = tied.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(first), "doc_id").distinct().orderBy(*order, "tie").limit(sample)
+    upto = F.sum("size").over(Window.orderBy(*order, "tie"))
+    chosen = settle(held.withColumn("upto", upto).filter(F.col("upto") <= most).select("doc_id", F.col("tie").alias("of"), "toxic"))
+    texts = tied.join(F.broadcast(chosen.select("doc_id", "of").distinct()), ["doc_id"]).filter(F.col("tie").eqNullSafe(F.col("of"))).groupBy("doc_id", "of").agg(F.first("text").alias("text"))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "of"]).select("doc_id", "of", "text", "toxic").toPandas()
+    rows = rows.sort_values(["doc_id", "of", "toxic"], kind="stable").reset_index(drop=True)
     y = rows["toxic"].to_numpy() if len(rows) else np.zeros(0)
     if len(set(y)) < 2:
         return None

@@ -730,3 +730,75 @@ def test_toxicity_learns_and_holds_out(spark):
     none = toxicity.toxicity_digest(docs, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.toxicity_digest(docs.limit(0), labels).count() == 0
+
+
+def small_model(seed=1):
+    rng = np.random.default_rng(seed)
+    table = rng.normal(0, 0.5, ((1 << toxicity.BITS) + 1, toxicity.DIM)).astype(np.float32)
+    table[0] = 0
+    filters = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    shifts = [rng.normal(0, 0.3, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    return toxicity.Model(table, filters, shifts, rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), -0.2, np.zeros(5))
+
+
+TEXTS = [b"a b c d e f g", b"", b"one", b"two words", b"a a a b " * 30]
+
+
+def plain_logit(model, ids):
+    """One text's logit by loops: ids of its words and pads."""
+    x = [sum(model.table[i].astype(float) for i in row) for row in ids]
+    words = len(ids) - toxicity.PADS
+    best = []
+    for width, filters, shift in zip(toxicity.WIDTHS, model.filters, model.shifts, strict=True):
+        for f in range(toxicity.FILTERS):
+            best.append(max([0.0] + [shift[f] + sum(float(x[t + k] @ filters[k][:, f]) for k in range(width)) for t in range(words)]))
+    return float(np.dot(best, model.weights)) + model.bias
+
+
+def test_forward_pass_equals_loops():
+    model, features = small_model(), toxicity.Features()
+    ids, counts, _ = features(TEXTS)
+    got = model.logits(ids, counts)
+    for t, z in zip(TEXTS, got, strict=True):
+        assert math.isclose(z, plain_logit(model, features([t])[0]), abs_tol=1e-4)
+
+
+def test_gradients_equal_differences():
+    model, features = small_model(), toxicity.Features()
+    ids, counts, _ = features(TEXTS)
+    y = np.array([1, 0, 1, 0, 1.0])
+
+    def loss():
+        z = np.array([plain_logit(model, features([t])[0]) for t in TEXTS])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    dense, by_bias, rows, by_row = toxicity.gradients(model, ids, counts, y)
+    rng = np.random.default_rng(0)
+    slots = [*model.filters, *model.shifts, model.weights]
+    checks = [(s, g, tuple(int(rng.integers(0, n)) for n in s.shape)) for s, g in zip(slots, dense, strict=True) for _ in range(3)]
+    checks += [(model.table, {(int(r), c): by_row[i, c] for i, r in enumerate(rows) for c in range(toxicity.DIM)}, (int(r), 1)) for r in rows[rows > 0][:4]]
+    for slot, slope, at in checks:
+        was = slot[at]
+        slot[at] = was + 1e-3
+        up = loss()
+        slot[at] = was - 1e-3
+        assert math.isclose((up - loss()) / 2e-3, slope[at], abs_tol=2e-3)
+        slot[at] = was
+    was, model.bias = model.bias, model.bias + 1e-3
+    up = loss()
+    model.bias = was - 1e-3
+    assert math.isclose((up - loss()) / 2e-3, by_bias, abs_tol=2e-3)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Repeated doc_ids, repeated rows and very long texts."""
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((texts, labels)))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], f"other {k}") for k in range(300)] + [(ids[1], "text again")] * 300 + [(ids[2], "word " * 300_000), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample=50, most=1000)
+    texts, y = taken[0]
+    assert 5 < len(texts) <= 50 and sum(len(t) for t in texts) <= 1000 and len(set(y)) == 2
+    scored = toxicity.score(docs, None).collect()
+    assert len(scored) == docs.count() and {r.toxicity for r in scored} == {0.0}
