@@ -493,6 +493,29 @@ def test_shingle_join_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs).collect()} == join_truth(texts)
 
 
+@pytest.mark.parametrize("large", [8, 1 << 12])
+def test_passing_pairs_equal_all_pairs(monkeypatch, large):
+    """Block skips and pivots rule out what the bounds do, pair by pair, and nothing else; with lists of over a block."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng = np.random.default_rng(9)
+    for trial in range(4):
+        m = 1500 if trial == 0 else 300
+        list_id = np.sort(rng.integers(0, 3, m))
+        n, at = rng.integers(20, 30 + 10 * trial, m), rng.integers(0, 4, m)
+        base = rng.integers(0, 2**63, (4, jaccard.BITS // 64), dtype=np.uint64) & rng.integers(0, 2**63, (4, jaccard.BITS // 64), dtype=np.uint64)
+        bitmap = base[rng.integers(0, 4, m)] ^ (np.uint64(1) << rng.integers(0, 63, (m, jaccard.BITS // 64), dtype=np.uint64)) * (rng.random((m, 1)) < 0.5).astype(np.uint64)
+        rid = rng.permutation(m)
+        order = np.lexsort((rid, at, n, list_id))
+        list_id, n, at, bitmap, rid = list_id[order], n[order], at[order], bitmap[order], rid[order]
+        i, j, gap = jaccard._passing(list_id, n, at, bitmap, rid, (9, 10))
+        assert (i < j).all() and (gap == np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(1)).all()
+        x, y = np.triu_indices(m, 1)
+        most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
+        all_gap = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(1)
+        ok = (list_id[x] == list_id[y]) & (10 * n[x] >= 9 * n[y]) & (19 * most >= 9 * (n[x] + n[y])) & (19 * (n[x] + n[y] - all_gap.astype(int)) >= 18 * (n[x] + n[y]))
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(x[ok].tolist(), y[ok].tolist(), strict=True)) and ok.any()
+
+
 def test_sketches_bound_differences_from_below():
     rng = np.random.default_rng(1)
     for n in (1, 5, 60, 1000):
