@@ -5,10 +5,11 @@ Each binding is deterministic and derived row by row from a whole table, so quer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspark.functions.dialect import DUCK, SPARK, Dialect
+from assetspark.operators import ranges
 
 NOT_STREAMED = 4294967295
 
@@ -17,12 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def aligned_starts(size: str, bundle: str, order: list[str]):
-    """Where each payload starts when all are laid out in order: every start is aligned, so starts are sums of aligned sizes."""
-    w = Window.partitionBy(bundle).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(F.expr(SPARK.align(size))).over(w), F.lit(0))
-
-
 #: What an entry is, by the language of its text.
 TYPES = {"en": "texture", "fr": "material", "de": "unit", "es": "bones"}
 
@@ -35,7 +30,7 @@ def asset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset_rows with gpu_offset, as they were laid out."""
-    return asset_rows(spark, sf_dir).withColumn("gpu_offset", aligned_starts("size", "bundle", ["pos"]))
+    return ranges.sum_before(asset_rows(spark, sf_dir), ["bundle"], ["pos"], F.expr(SPARK.align("size")), "gpu_offset")
 
 
 ASSETS = f"""assets AS (

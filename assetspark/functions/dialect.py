@@ -75,8 +75,8 @@ class Dialect:
         return f"({a} = 255 AND {five(r)} AND {self.div(g, '4')} * 4 + {self.div(g, '64')} = {g} AND {five(b)})"
 
     def verdict(self, db: str) -> str:
-        """Bands of a loss in dB; null is not measured, no finite value is nothing lost."""
-        return f"(CASE WHEN {db} IS NULL OR isnan({db}) THEN 'not measured' WHEN {db} = CAST('Infinity' AS DOUBLE) THEN 'nothing lost' WHEN {db} >= 45 THEN 'nothing visible lost' WHEN {db} >= 36 THEN 'slight softening' WHEN {db} >= 30 THEN 'visible softening' ELSE 'real detail lost' END)"
+        """A code for a loss in dB: unknown where it isn't measured, exact where it has no finite value, then by falling quality."""
+        return f"(CASE WHEN {db} IS NULL OR isnan({db}) THEN 'unknown' WHEN {db} = CAST('Infinity' AS DOUBLE) THEN 'exact' WHEN {db} >= 45 THEN 'band-45' WHEN {db} >= 36 THEN 'band-36' WHEN {db} >= 30 THEN 'band-30' ELSE 'below-30' END)"
 
     def human_bytes(self, v: str) -> str:
         """In the largest unit up to GiB of which it holds one, to a decimal; integer tenths, halves up."""

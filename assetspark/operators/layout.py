@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetspark.functions.dialect import SPARK
+from assetspark.operators import ranges
 
 ALIGNMENT = 64
 
 
 def mark_first(entries: DataFrame, key: list[str], order: list[str], by: str = "bundle") -> DataFrame:
-    """entries with is_first: whether an entry is the first of its bundle to hold the payload that key names."""
-    w = Window.partitionBy(by, *key).orderBy(*order)
-    return entries.withColumn("is_first", F.row_number().over(w) == 1)
+    """entries with is_first: whether an entry is the first of its bundle to hold the payload that key names, and first: that one's place in the order.
+
+    The first of each payload is found by a minimum, combined before the shuffle, so a payload of many entries is no task's burden.
+    """
+    names = [by, *key]
+    first = entries.groupBy(*names).agg(F.min(F.struct(*order)).alias("first"))
+    first = first.select(*(F.col(c).alias(f"__f_{c}") for c in names), "first")
+    marked = entries.join(first, [entries[c].eqNullSafe(first[f"__f_{c}"]) for c in names])
+    return marked.withColumn("is_first", F.struct(*order) == F.col("first")).drop("__first", *(f"__f_{c}" for c in names))
 
 
 def pack(entries: DataFrame, key: list[str] | None = None, order: tuple[str, ...] = ("gpu_offset", "pos"), size: str = "size", by: str = "bundle") -> DataFrame:
-    """entries with new_offset, every start aligned; with a key, later entries of a payload share the first one's place.
+    """entries with is_first and new_offset, every start aligned; with a key, later entries of a payload share the first one's place.
 
-    An aligned start plus an aligned size is an aligned start, so a start is the sum of the aligned sizes before it.
+    An aligned start plus an aligned size is an aligned start, so a start is the sum of the aligned sizes before it. The
+    order is one of whole numbers that tells the entries of a bundle apart.
     """
     ordered = [*order]
-    if key:
-        entries = mark_first(entries, key, ordered, by)
-    else:
-        entries = entries.withColumn("is_first", F.lit(True))
-    before = Window.partitionBy(by).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.when(F.col("is_first"), F.expr(SPARK.align(size))).otherwise(0)
-    placed = entries.withColumn("new_offset", F.coalesce(F.sum(taken).over(before), F.lit(0)))
-    if key:
-        shared = Window.partitionBy(by, *key)
-        placed = placed.withColumn("new_offset", F.min(F.when(F.col("is_first"), F.col("new_offset"))).over(shared))
-    return placed
+    if not key:
+        placed = entries.withColumn("is_first", F.lit(True))
+        return ranges.sum_before(placed, [by], ordered, F.expr(SPARK.align(size)), "new_offset")
+    marked = mark_first(entries, key, ordered, by)
+    names = [by, *key]
+    firsts = ranges.sum_before(marked.filter("is_first").select(*names, *(c for c in [*ordered, size] if c not in names)), [by], ordered, F.expr(SPARK.align(size)), "new_offset")
+    firsts = firsts.select(*(F.col(c).alias(f"__f_{c}") for c in names), "new_offset")
+    return marked.join(firsts, [marked[c].eqNullSafe(firsts[f"__f_{c}"]) for c in names]).drop("first", *(f"__f_{c}" for c in names))
 
 
 def packed_size(entries: DataFrame, key: list[str] | None = None, order: tuple[str, ...] = ("gpu_offset", "pos"), size: str = "size", by: str = "bundle") -> DataFrame:

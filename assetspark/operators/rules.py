@@ -55,8 +55,8 @@ def layers(d: Dialect) -> list[list[str]]:
 
 
 def predicted(d: Dialect) -> list[list[str]]:
-    """Sizes that follow from a recommendation (and include): predicted_size, predicted_stream_size."""
-    chains = ["*", f"CASE WHEN {formats.is_sizable('format')} THEN {d.chain('format', 'w', 'h', 'mips')} END AS chain", f"CASE WHEN {formats.is_sizable('to_format')} THEN {d.chain('to_format', 'to_w', 'to_h', 'to_mips')} END AS to_chain"]
+    """Sizes that follow from a recommendation, include and the chain of classify: predicted_size, predicted_stream_size."""
+    chains = ["*", f"CASE WHEN {formats.is_sizable('to_format')} THEN {d.chain('to_format', 'to_w', 'to_h', 'to_mips')} END AS to_chain"]
     sizes = [
         "*",
         f"CASE WHEN NOT include THEN gpu_size WHEN generates THEN {d.total(d.cut('to_chain', 'coalesce(resident, 0)'))} WHEN resident IS NOT NULL THEN {d.total(d.cut('chain', '(drop_levels + resident)'))} "
@@ -82,12 +82,13 @@ def predict(df: DataFrame) -> DataFrame:
 
 
 def classify(d: Dialect) -> list[list[str]]:
-    """Why a texture can't be optimised, or null: the first reason that holds."""
+    """The texture's chain, once, and why it can't be optimised, or null: the first reason that holds."""
     sizable, block = formats.is_sizable("format"), formats.is_block("format")
-    expected = ["*", f"CASE WHEN {sizable} THEN {d.total(d.chain('format', 'w', 'h', 'mips'))} END AS expected_size"]
+    chain = ["*", f"CASE WHEN {sizable} THEN {d.chain('format', 'w', 'h', 'mips')} END AS chain"]
+    expected = ["*", f"CASE WHEN {sizable} THEN {d.total('chain')} END AS expected_size"]
     reason = [
         "*",
         f"CASE WHEN NOT has_dx10 THEN 'legacy-header' WHEN {block} AND NOT {formats.can_decode('format')} THEN 'cannot-decode' WHEN NOT {block} AND NOT {formats.is_rgba32('format')} THEN 'unsupported-format' "
         "WHEN w % 4 <> 0 OR h % 4 <> 0 THEN 'dimensions' WHEN stream_size > 0 THEN 'streamed' WHEN expected_size <> gpu_size THEN 'payload-size' END AS unsupported",
     ]
-    return [expected, reason]
+    return [chain, expected, reason]

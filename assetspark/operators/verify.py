@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetspark import formats
 from assetspark.functions.dialect import SPARK
+from assetspark.operators import layout, ranges
 
 ALIGNMENT = 64
 
@@ -17,6 +18,13 @@ def issues(df: DataFrame, *found: tuple[str, Column, Column]) -> DataFrame:
     return df.select("bundle", "pos", F.explode(F.filter(F.array(*raised), lambda x: x.isNotNull())).alias("i")).select("bundle", "i.category", "pos", "i.detail")
 
 
+def first_of(found: DataFrame, n: int = 3) -> DataFrame:
+    """The first n issues of each bundle by place, with their rank k, and the number of all as n_issues."""
+    counts = found.groupBy("bundle").agg(F.count("*").alias("n_issues"))
+    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("bundle").orderBy("pos", "category", "detail"))).filter(F.col("k") <= n)
+    return ranked.join(counts, "bundle").select("bundle", "pos", "detail", F.col("k").cast("long").alias("k"), "n_issues")
+
+
 def check_alignment(entries: DataFrame) -> DataFrame:
     return issues(entries, ("alignment", F.col("gpu_offset") % ALIGNMENT != 0, F.col("gpu_offset")))
 
@@ -34,10 +42,9 @@ def regions(entries: DataFrame) -> DataFrame:
 
 def check_overlap(entries: DataFrame, strict: bool = False) -> DataFrame:
     """Distinct regions that begin before the one before them ends; strict: before any earlier one ends."""
-    w = Window.partitionBy("bundle").orderBy("gpu_offset", "pos")
-    end = F.col("gpu_offset") + F.col("size")
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) if strict else F.lag(end).over(w)
-    return issues(regions(entries).withColumn("before", before), ("overlap", F.col("gpu_offset") < F.col("before"), F.col("before") - F.col("gpu_offset")))
+    before = ranges.max_before if strict else ranges.value_before
+    placed = before(regions(entries), ["bundle"], ["gpu_offset", "pos"], F.col("gpu_offset") + F.col("size"), "before")
+    return issues(placed, ("overlap", F.col("gpu_offset") < F.col("before"), F.col("before") - F.col("gpu_offset")))
 
 
 def check_slack(entries: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -71,6 +78,28 @@ def check_streamed(textures: DataFrame) -> DataFrame:
     )
 
 
+def check_files(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Bundles with payloads in a companion that isn't there: one issue for each companion. files: path, of what there is."""
+    need = entries.groupBy("bundle").agg(F.max(F.col("gpu_size") > 0).alias("gpu"), F.max(F.coalesce(F.col("stream_size") > 0, F.lit(False))).alias("stream"))
+    wanted = need.select("bundle", F.explode(F.filter(F.array(F.when(F.col("gpu"), F.lit(".gpu_resources")), F.when(F.col("stream"), F.lit(".stream"))), lambda x: x.isNotNull())).alias("ending"))
+    missing = wanted.withColumn("path", F.concat("bundle", "ending")).join(files.select("path"), "path", "left_anti")
+    return missing.select("bundle", F.lit("missing-file").alias("category"), F.lit(None).cast("long").alias("pos"), F.col("ending").alias("detail"))
+
+
+def check_stream_tables(textures: DataFrame, tables: DataFrame) -> DataFrame:
+    """Streamed textures whose level table differs from that of their format and size: the first bad level of each.
+
+    tables: bundle, pos, level, level_size, next_offset, rest, as read from the prefixes. A level that is missing differs.
+    """
+    key = ["bundle", "pos", "level"]
+    right = layout.level_table(textures.filter(F.expr(formats.is_sizable("format")) & F.col("has_dx10") & (F.col("stream_size") > 0)))
+    columns = ["level_size", "next_offset", "rest"]
+    found = tables.select(*key, *(F.col(c).alias(f"found_{c}") for c in columns))
+    bad = right.join(found, key, "left").filter(~F.expr(" AND ".join(f"({c} <=> found_{c})" for c in columns)))
+    first = bad.groupBy("bundle", "pos").agg(F.min("level").alias("level"))
+    return first.select("bundle", F.lit("stream-table").alias("category"), "pos", F.col("level").cast("string").alias("detail"))
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a rewrite must not touch: entries, CPU payloads and the data of all but textures, matched by place."""
     columns = ["type_name", "file_id", "cpu_offset", "cpu_size", "prefix_id", "size", "hash"]

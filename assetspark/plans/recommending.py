@@ -139,9 +139,36 @@ def plan_totals(spark, sf_dir):
     return plan.totals(built(spark, sf_dir, "single"))
 
 
-@query("worth_writing", f"WITH t AS ({_totals_sql('plain', ('bytes_before', 'bytes_after'))}) SELECT bundle, bytes_after < bytes_before AS saves_memory FROM t")
+#: A payload of the plan is a surface with what becomes of it: entries that share both share its place.
+PLAN_KEY = ["vec_id", "w", "h", "format", "mips", "to_format", "to_w", "to_h", "to_mips", "drop_levels", "resident", "kept"]
+
+
+def _plan_size_sql(name: str) -> str:
+    return f"""WITH {_candidates_sql((name,))}, judged AS (SELECT *, unsupported IS NULL AND predicted_size < gpu_size AS kept FROM sized),
+written AS (SELECT *, CASE WHEN kept THEN predicted_size ELSE gpu_size END AS size FROM judged),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY bundle, {', '.join(PLAN_KEY)}, size ORDER BY pos) AS k FROM written),
+ends AS (SELECT bundle, sum(({DUCK.align('size')})) OVER (PARTITION BY bundle ORDER BY pos) - ({DUCK.align('size')}) + size AS upto, row_number() OVER (PARTITION BY bundle ORDER BY pos DESC) AS back FROM firsts WHERE k = 1)
+SELECT b.bundle, CAST(e.upto AS BIGINT) AS bytes_after, b.bytes_before FROM ends e JOIN (SELECT bundle, CAST(sum(gpu_size) AS BIGINT) AS bytes_before FROM written GROUP BY bundle) b USING (bundle) WHERE back = 1"""
+
+
+def plan_sizes(spark, sf_dir, name: str):
+    """Per bundle the bytes of its payloads now and the length of the file that the plan leads to, payloads shared by content and target."""
+    planned_ = built(spark, sf_dir, name).withColumn("kept", F.col("include")).withColumn("size", F.when(F.col("include"), F.col("predicted_size")).otherwise(F.col("gpu_size")))
+    before = planned_.groupBy("bundle").agg(F.sum("gpu_size").alias("bytes_before"))
+    return layout.packed_size(planned_, [*PLAN_KEY, "size"], order=("pos",)).withColumnRenamed("packed_size", "bytes_after").join(before, "bundle")
+
+
+@query("predicted_file_size", _plan_size_sql("smallest"))
+def predicted_file_size(spark, sf_dir):
+    return plan_sizes(spark, sf_dir, "smallest").select("bundle", "bytes_after", "bytes_before")
+
+
+@query("worth_writing", f"WITH m AS ({_totals_sql('plain', ('bytes_before', 'bytes_after'))}), f AS ({_plan_size_sql('plain')}) SELECT m.bundle, m.bytes_after < m.bytes_before AS saves_memory, f.bytes_after < f.bytes_before AS saves_disk, m.bytes_after < m.bytes_before OR f.bytes_after < f.bytes_before AS worth_writing FROM m JOIN f USING (bundle)")
 def worth_writing(spark, sf_dir):
-    return plan.totals(built(spark, sf_dir, "plain")).select("bundle", (F.col("bytes_after") < F.col("bytes_before")).alias("saves_memory"))
+    """A plan is worth writing if it saves memory, entry by entry, or disk, where equal payloads share their place."""
+    memory = plan.totals(built(spark, sf_dir, "plain")).select("bundle", (F.col("bytes_after") < F.col("bytes_before")).alias("saves_memory"))
+    disk = plan_sizes(spark, sf_dir, "plain").select("bundle", (F.col("bytes_after") < F.col("bytes_before")).alias("saves_disk"))
+    return memory.join(disk, "bundle").withColumn("worth_writing", F.col("saves_memory") | F.col("saves_disk"))
 
 
 @query("plan_targets", f"WITH {_candidates_sql(('smallest',))} SELECT bundle, pos, CASE WHEN mips > 1 THEN format ELSE to_format END AS target_format, to_w, to_h, mips <= 1 AS free_choice, unsupported IS NULL AND lossless AND to_w <> w AS risky FROM sized WHERE unsupported IS NULL")

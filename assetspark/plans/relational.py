@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetspark.bindings import ASSETS, PIXELS, asset_rows, assets, pixels, read, surfaces
 from assetspark.functions.dialect import DUCK, SPARK
-from assetspark.operators import layout, profile
+from assetspark.operators import layout, profile, verify
 from assetspark.plans.registry import query
 
 BIG = "CAST({} AS BIGINT)".format
@@ -52,7 +51,7 @@ def dup_totals(spark, sf_dir):
 @query("dedup_first", f"WITH {ASSETS} SELECT bundle, pos, row_number() OVER (PARTITION BY bundle, hash ORDER BY gpu_offset, pos) = 1 AS is_first, min(gpu_offset) OVER (PARTITION BY bundle, hash) AS kept_offset FROM assets")
 def dedup_first(spark, sf_dir):
     marked = layout.mark_first(assets(spark, sf_dir), ["hash"], ["gpu_offset", "pos"])
-    return marked.select("bundle", "pos", "is_first", F.min("gpu_offset").over(Window.partitionBy("bundle", "hash")).alias("kept_offset"))
+    return marked.select("bundle", "pos", "is_first", F.col("first.gpu_offset").alias("kept_offset"))
 
 
 @query("pack_plain", f"WITH {ASSETS} SELECT bundle, pos, {START} AS new_offset FROM assets")
@@ -84,9 +83,11 @@ def stream_layout(spark, sf_dir):
     return layout.pack(targets, ["hash"], order=("pos",)).select("bundle", "pos", F.col("new_offset").alias("stream_offset"), F.col("size").alias("stream_size"))
 
 
-@query("distinct_regions", f"WITH {ASSETS} SELECT DISTINCT bundle, gpu_offset // 4096 * 4096 AS page, size // 1024 AS kib FROM assets")
+@query("distinct_regions", f"WITH {ASSETS}, shared AS (SELECT bundle, gpu_offset - gpu_offset % 4096 AS gpu_offset, size - size % 1024 AS size FROM assets) SELECT bundle, gpu_offset, size, count(*) AS n_entries FROM shared GROUP BY ALL")
 def distinct_regions(spark, sf_dir):
-    return assets(spark, sf_dir).selectExpr("bundle", "gpu_offset div 4096 * 4096 AS page", "size div 1024 AS kib").dropDuplicates()
+    """Regions (offset, size) and how many entries name each; offsets and sizes are rounded so that some do."""
+    e = assets(spark, sf_dir).select("bundle", "pos", F.expr("gpu_offset - gpu_offset % 4096").alias("gpu_offset"), F.expr("size - size % 1024").alias("size"))
+    return verify.regions(e).drop("pos")
 
 
 @query("batch_union", f"WITH {ASSETS} SELECT bundle, pos, 'planned' AS part FROM assets WHERE type_name = 'texture' UNION ALL SELECT bundle, pos, 'skipped' FROM assets WHERE type_name <> 'texture' AND size > 500")
@@ -95,10 +96,14 @@ def batch_union(spark, sf_dir):
     return a.filter("type_name = 'texture'").select("bundle", "pos", F.lit("planned").alias("part")).unionByName(a.filter("type_name <> 'texture' AND size > 500").select("bundle", "pos", F.lit("skipped").alias("part")))
 
 
-@query("first_issues", f"WITH {ASSETS}, r AS (SELECT bundle, pos, size, row_number() OVER (PARTITION BY bundle ORDER BY size DESC, pos) AS k FROM assets) SELECT bundle, pos, size, k FROM r WHERE k <= 3")
+UNEVEN = "gpu_offset + CASE WHEN pos % 3 = 1 THEN 8 ELSE 0 END"
+
+
+@query("first_issues", f"WITH {ASSETS}, issues AS (SELECT bundle, pos, {UNEVEN} AS detail FROM assets WHERE ({UNEVEN}) % 64 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY pos) AS k, count(*) OVER (PARTITION BY bundle) AS n_issues FROM issues) SELECT bundle, pos, CAST(detail AS VARCHAR) AS detail, k, n_issues FROM r WHERE k <= 3")
 def first_issues(spark, sf_dir):
-    w = Window.partitionBy("bundle").orderBy(F.desc("size"), "pos")
-    return asset_rows(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 3").select("bundle", "pos", "size", F.col("k").cast("long").alias("k"))
+    """The first three issues of each bundle and how many it has. Only three a bundle and task reach the shuffle."""
+    found = verify.check_alignment(assets(spark, sf_dir).withColumn("gpu_offset", F.expr(UNEVEN)))
+    return verify.first_of(found)
 
 
 @query("analyse_once_join", f"WITH {ASSETS}, once AS (SELECT hash, min(pos) AS first_pos, count(*) AS uses FROM assets GROUP BY hash) SELECT a.bundle, a.pos, o.first_pos, o.uses FROM assets a JOIN once o USING (hash)")
@@ -200,12 +205,17 @@ def solid_flag(spark, sf_dir):
     return profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).select("tex_id", "solid")
 
 
-CLASS = "CASE WHEN solid THEN concat('solid RGBA(', concat_ws(',', CAST(r AS {0}), CAST(g AS {0}), CAST(b AS {0}), CAST(a AS {0})), ')') WHEN flat_alpha THEN concat('flat RGB(', concat_ws(',', CAST(r AS {0}), CAST(g AS {0}), CAST(b AS {0})), '), ', CAST(a_distinct AS {0}), ' alpha values') WHEN alpha_detail THEN 'detail with alpha' ELSE 'opaque detail' END"
-
-
-@query("content_class", f"WITH {ANALYSIS} SELECT tex_id, binary_alpha, {CLASS.format('VARCHAR')} AS class FROM analysis")
+@query(
+    "content_class",
+    f"WITH {ANALYSIS}, kinds AS (SELECT *, CASE WHEN solid THEN 0 WHEN flat_alpha THEN 1 WHEN alpha_detail THEN 2 ELSE 3 END AS k FROM analysis) "
+    "SELECT tex_id, binary_alpha, ['one-value', 'one-colour', 'transparent', 'opaque'][k + 1] AS class, CASE WHEN k < 2 THEN r END AS r, CASE WHEN k < 2 THEN g END AS g, CASE WHEN k < 2 THEN b END AS b, CASE WHEN k = 0 THEN a END AS a, CASE WHEN k = 1 THEN a_distinct END AS n_alpha FROM kinds",
+)
 def content_class(spark, sf_dir):
-    return profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).selectExpr("tex_id", "binary_alpha", f"{CLASS.format('STRING')} AS class")
+    """A code for what a surface holds, with the values that the class is about."""
+    solid, flat = F.col("solid"), F.col("flat_alpha") & ~F.col("solid")
+    kind = F.when(solid, "one-value").when(flat, "one-colour").when(F.col("alpha_detail"), "transparent").otherwise("opaque")
+    colour = [F.when(solid | flat, F.col(c)).alias(c) for c in "rgb"]
+    return profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).select("tex_id", "binary_alpha", kind.alias("class"), *colour, F.when(solid, F.col("a")).alias("a"), F.when(flat, F.col("a_distinct")).alias("n_alpha"))
 
 
 @query("exact_565", f"WITH {ANALYSIS} SELECT tex_id, {DUCK.exact_565('r', 'g', 'b', '255')} AS exact_opaque, {DUCK.exact_565('(r // 8 * 8 + r // 32)', '(g // 4 * 4 + g // 64)', '(b // 8 * 8 + b // 32)', 'a')} AS exact_rounded FROM analysis")

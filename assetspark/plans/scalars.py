@@ -57,7 +57,23 @@ _on_textures("dds_patch_fields", lambda d: _patched(d))
 _on_textures("dds_stream_fields", lambda d: [f"CASE WHEN {formats.is_block('format')} THEN 0 ELSE w * {formats.pixel_bytes('format')} END AS pitch", _big("4111", "flags")])
 _on_textures("floors_for_cap", lambda d: [_joined_where(d, c) for c in ("0", "1024", "256")])
 _on_textures("pow2_check", lambda d: [f"(w >= 4 AND w = CAST(pow(2, {d.bits('w')} - 1) AS BIGINT)) AS w_ok", f"(h >= 4 AND h = CAST(pow(2, {d.bits('h')} - 1) AS BIGINT)) AS h_ok"])
-_on_textures("grid_dimensions", lambda d: [f"CASE WHEN w = h THEN CAST(w AS {d.string}) ELSE concat(CAST(w AS {d.string}), 'x', CAST(h AS {d.string})) END AS shown"])
+def _grid(d) -> list[str]:
+    """What a grid shows of a texture capped at 512: its size, the size it gets and its share of pixels, and whether that is risky."""
+    text = lambda v: f"CAST({v} AS {d.string})"
+    side = lambda w, h: f"CASE WHEN {w} = {h} THEN {text(w)} ELSE concat({text(w)}, 'x', {text(h)}) END"
+    steps = d.halvings("w", "h", "512")
+    small = [d.shr(x, steps) for x in ("w", "h")]
+    return [
+        f"{side('w', 'h')} AS shown", f"CASE WHEN {steps} > 0 THEN {side(*small)} END AS resized",
+        f"CASE WHEN {steps} > 0 THEN {_long(d.div(f'(100 * {small[0]} * {small[1]})', '(w * h)'))} END AS percent_left", f"({steps} > 1 OR mips > 1 AND {steps} > 0) AS risky",
+    ]
+
+
+def _long(expression: str) -> str:
+    return f"CAST({expression} AS BIGINT)"
+
+
+_on_textures("grid_dimensions", _grid)
 
 
 projected("align64", asset_rows, ASSETS, "assets", [*KEY, _big(SPARK.align("size"), "aligned")], [*KEY, _big(DUCK.align("size"), "aligned")])
@@ -65,11 +81,19 @@ projected("human_bytes", asset_rows, ASSETS, "assets", [*KEY, f"{SPARK.human_byt
 projected("payload_sha256", asset_rows, ASSETS, "assets", [*KEY, "size", "hash"], [*KEY, "size", "hash"])
 projected("entry_name_hex", asset_rows, ASSETS, "assets", [*KEY, "lpad(hex(pos * 2654435761 + 4096), 16, '0') AS name"], [*KEY, "upper(lpad(to_hex(pos * 2654435761 + 4096), 16, '0')) AS name"])
 projected("entry_flags", asset_rows, ASSETS, "assets", [*KEY, "size > 0 AS has_gpu", "pos % 5 = 0 AS has_stream", "type_name = 'texture' AS is_texture"], [*KEY, "size > 0 AS has_gpu", "pos % 5 = 0 AS has_stream", "type_name = 'texture' AS is_texture"])
-projected("filter_gpu_backed", lambda s, d: asset_rows(s, d).filter("size > 1000 AND type_name = 'texture'"), ASSETS, "assets WHERE size > 1000 AND type_name = 'texture'", [*KEY, "size"], [*KEY, "size"])
+@query("filter_gpu_backed", f"WITH {TEXTURES} SELECT 'gpu' AS subset, bundle, pos FROM textures WHERE gpu_size > 0 UNION ALL SELECT 'stream', bundle, pos FROM textures WHERE stream_size > 0 UNION ALL SELECT 'texture', bundle, pos FROM textures WHERE has_dx10 AND gpu_size > 0")
+def filter_gpu_backed(spark, sf_dir):
+    """The three subsets that work runs on, each entry once for each that it is in."""
+    inside = {"gpu": F.col("gpu_size") > 0, "stream": F.col("stream_size") > 0, "texture": F.col("has_dx10") & (F.col("gpu_size") > 0)}
+    subsets = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in inside.items())), lambda x: x.isNotNull())
+    return textures(spark, sf_dir).select(F.explode(subsets).alias("subset"), "bundle", "pos")
+
 
-@query("skipped_rows", f"WITH {TEXTURES} SELECT bundle, pos, concat(CAST(w AS VARCHAR), 'x', CAST(h AS VARCHAR), ' ', {DUCK.text(formats.format_name('format'))}) AS description FROM textures WHERE NOT has_dx10 OR format IN (61, 95)")
+@query("skipped_rows", f"WITH {TEXTURES} SELECT bundle, pos, CASE WHEN has_dx10 THEN concat(CAST(w AS VARCHAR), 'x', CAST(h AS VARCHAR), ' ', {DUCK.text(formats.format_name('format'))}) ELSE concat(format('{{:,}}', gpu_size), ' bytes') END AS description FROM textures WHERE NOT has_dx10 OR format IN (61, 95)")
 def skipped_rows(spark, sf_dir):
-    return textures(spark, sf_dir).filter("NOT has_dx10 OR format IN (61, 95)").selectExpr("bundle", "pos", f"concat(CAST(w AS STRING), 'x', CAST(h AS STRING), ' ', {SPARK.text(formats.format_name('format'))}) AS description")
+    """Skipped entries: size and format where a header tells them, else the bytes of the payload, grouped by thousands."""
+    shown = f"CASE WHEN has_dx10 THEN concat(CAST(w AS STRING), 'x', CAST(h AS STRING), ' ', {SPARK.text(formats.format_name('format'))}) ELSE concat(format_number(gpu_size, 0), ' bytes') END AS description"
+    return textures(spark, sf_dir).filter("NOT has_dx10 OR format IN (61, 95)").selectExpr("bundle", "pos", shown)
 
 
 @query("format_dim_join", f"WITH {TEXTURES}, {formats.format_dim_sql()} SELECT t.bundle, t.pos, t.format, f.name, f.block_bytes, f.pixel_bytes, f.is_block, f.is_srgb FROM textures t LEFT JOIN format_dim f ON f.code = t.format")

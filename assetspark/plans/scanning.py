@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetspark.bindings import FILES, files
 from assetspark.operators import discovery
 from assetspark.plans.registry import query
+from assetspark.sources.shared import stored
 
 PARTS = f"""{FILES},
 split AS (SELECT path, size, list_filter(string_split(path, '/')[:-2], lambda x: x <> '') AS folders, string_split(path, '/')[-1] AS file_name FROM files),
@@ -50,10 +52,9 @@ def scan_folders(spark, sf_dir):
 @query("scan_order", f"WITH {PARTS} SELECT path, row_number() OVER (ORDER BY upper(array_to_string(folders, '/')), upper(file_name), path) AS k FROM bundles")
 def scan_order(spark, sf_dir):
     """Places in reading order, from places within ranges of an ordered listing and the sizes of the ranges before."""
-    order = (F.upper(F.array_join("relative_folders", "/")), F.upper("file_name"), F.col("path"))
-    from pyspark.sql import Window
-
-    ranged = bundles(spark, sf_dir).withColumns({"o1": order[0], "o2": order[1]}).repartitionByRange("o1", "o2", "path").withColumn("part", F.spark_partition_id()).persist()
+    order = {"o1": F.upper(F.array_join("relative_folders", "/")), "o2": F.upper("file_name")}
+    # Kept as a table: range bounds are sampled, and both readers must see the same.
+    ranged = stored(bundles(spark, sf_dir).select("path", *(c.alias(n) for n, c in order.items())).repartitionByRange("o1", "o2", "path").withColumn("part", F.spark_partition_id()), "order")
     inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("o1", "o2", "path")))
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(before.select("part", "before")), "part").select("path", (F.col("k") + F.col("before")).alias("k"))

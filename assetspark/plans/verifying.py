@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetspark import formats
-from assetspark.bindings import ASSETS, TEXTURES, assets, textures
+from assetspark.bindings import ASSETS, FILES, TEXTURES, assets, files, textures
 from assetspark.functions.dialect import DUCK, SPARK
-from assetspark.operators import verify
+from assetspark.operators import layout, verify
 from assetspark.plans.registry import query
 
 #: Planted: some entries moved off their alignment, some into the one before, files cut short or left long.
@@ -115,6 +115,32 @@ def verify_streamed(spark, sf_dir):
     return verify.check_streamed(s)
 
 
+#: Planted in the level tables of streamed textures: a wrong size, a wrong offset, a missing level.
+TABLE_FAULTS = {"level_size": "level_size + CASE WHEN pos % 11 = 3 AND level >= 2 THEN 4 ELSE 0 END", "next_offset": "next_offset + CASE WHEN pos % 13 = 4 AND level = 1 THEN 16 ELSE 0 END"}
+LOST_LEVEL = "pos % 17 = 5 AND level = 3"
+STREAM_TABLES = f"""{TEXTURES}, st AS (SELECT bundle, pos, w, h, format, mips FROM textures WHERE stream_size > 0 AND has_dx10 AND {formats.is_sizable('format')}),
+lv AS (SELECT bundle, pos, mips, w, h, format, unnest(range(0, mips)) AS level FROM st),
+sz AS (SELECT *, CAST({DUCK.surface('format', 'greatest(1, w >> CAST(level AS INT))', 'greatest(1, h >> CAST(level AS INT))')} AS BIGINT) AS level_size FROM lv),
+ok AS (SELECT *, CASE WHEN level = mips - 1 THEN 0 ELSE CAST(sum(level_size) OVER (PARTITION BY bundle, pos ORDER BY level) AS BIGINT) END AS next_offset FROM sz),
+bad AS (SELECT bundle, pos, level FROM ok WHERE {LOST_LEVEL} OR level_size <> {TABLE_FAULTS['level_size']} OR next_offset <> {TABLE_FAULTS['next_offset']})"""
+
+
+@query("verify_stream_table", f"WITH {STREAM_TABLES} SELECT bundle, 'stream-table' AS category, pos, CAST(min(level) AS VARCHAR) AS detail FROM bad GROUP BY bundle, pos")
+def verify_stream_table(spark, sf_dir):
+    """The first bad level of streamed textures whose level table is wrong."""
+    t = textures(spark, sf_dir).filter("stream_size > 0")
+    read = layout.level_table(t.filter(F.expr(formats.is_sizable("format")) & F.col("has_dx10"))).withColumns({c: F.expr(x) for c, x in TABLE_FAULTS.items()}).filter(f"NOT ({LOST_LEVEL})")
+    return verify.check_stream_tables(t, read)
+
+
+#: Entries of listed bundles: every one has a payload in the first companion, some have one in the second.
+@query("verify_missing_file", f"WITH {FILES}, b AS (SELECT path AS bundle, size % 2 = 0 AS streamed FROM files WHERE path LIKE '%.patch_0'), w AS (SELECT bundle, '.gpu_resources' AS detail FROM b UNION ALL SELECT bundle, '.stream' FROM b WHERE streamed) SELECT bundle, 'missing-file' AS category, CAST(NULL AS BIGINT) AS pos, detail FROM w WHERE bundle || detail NOT IN (SELECT path FROM files)")
+def verify_missing_file(spark, sf_dir):
+    listed = files(spark, sf_dir)
+    entries = listed.filter("path LIKE '%.patch_0'").select(F.col("path").alias("bundle"), F.lit(1).alias("gpu_size"), F.when(F.col("size") % 2 == 0, 1).otherwise(0).alias("stream_size"))
+    return verify.check_files(entries, listed)
+
+
 BEFORE_COLUMNS = ["bundle", "pos", "type_name", "pos + 4096 AS file_id", "pos * 340 AS cpu_offset", "CAST(340 AS BIGINT) AS cpu_size", "pos * 7 AS prefix_id", "size", "hash"]
 #: Planted in the rewritten bundle: changed ids, moved CPU payloads, lost prefix ids, changed sizes and data, a lost entry.
 AFTER_COLUMNS = [
