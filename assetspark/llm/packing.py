@@ -31,7 +31,7 @@ END = 2
 TOKENIZER = "byte_bpe_50k.json"
 IN_BUCKET = 20_000
 #: So many stretches at most, of so many characters at most, are kept with their ids in a worker.
-KNOWN, SHORT = 400_000, 64
+KNOWN, SHORT = 1_200_000, 64
 AT_ONCE = 1000
 #: Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
