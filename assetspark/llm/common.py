@@ -57,6 +57,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: What operators keep in a Python worker from one task to the next.
+KEPT: list = []
+
+
+def forget() -> None:
+    """Drops what another operator keeps in this worker: workers outlive the stages of a job."""
+    for kept in KEPT:
+        kept.clear()
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Views of a few rows each, so that what Python makes of a batch stays small."""
     for batch in batches:

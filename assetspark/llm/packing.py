@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspark.llm.common import in_slices, stored
+from assetspark.llm.common import KEPT, in_slices, stored
 
 LENGTH = 1024
 END = 2
@@ -98,6 +98,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assetspark.llm.common import NOT_WORD, WordHasher, in_slices, settle, utf8
+from assetspark.llm.common import NOT_WORD, WordHasher, forget, in_slices, settle, utf8
 
 SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 THRESHOLD = 0.7
@@ -258,6 +258,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFr
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         features = Features()
         for rows in in_slices(batches):
             scores = model.scores(utf8(rows.column("text")), features) if model else np.zeros(rows.num_rows)
