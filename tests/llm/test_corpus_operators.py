@@ -507,13 +507,51 @@ def test_passing_pairs_equal_all_pairs(monkeypatch, large):
         rid = rng.permutation(m)
         order = np.lexsort((rid, at, n, list_id))
         list_id, n, at, bitmap, rid = list_id[order], n[order], at[order], bitmap[order], rid[order]
-        i, j, gap = jaccard._passing(list_id, n, at, bitmap, rid, (9, 10))
+        i, j, gap = jaccard._passing(list_id, n, at, bitmap, np.full(m, -1), rid, (9, 10))
         assert (i < j).all() and (gap == np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(1)).all()
         x, y = np.triu_indices(m, 1)
         most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
         all_gap = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(1)
         ok = (list_id[x] == list_id[y]) & (10 * n[x] >= 9 * n[y]) & (19 * most >= 9 * (n[x] + n[y])) & (19 * (n[x] + n[y] - all_gap.astype(int)) >= 18 * (n[x] + n[y]))
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(x[ok].tolist(), y[ok].tolist(), strict=True)) and ok.any()
+        # Halves of a list meet each other alone, rows of one label never.
+        side, label = np.where(list_id == 1, rid % 2, -1), rid % 7
+        order = np.lexsort((rid, side, at, n, list_id))
+        i, j, _ = jaccard._passing(list_id[order], n[order], at[order], bitmap[order], side[order], label[order], (9, 10))
+        got = {frozenset(z) for z in zip(order[i].tolist(), order[j].tolist(), strict=True)}
+        ok &= (label[x] != label[y]) & ((side[x] < 0) | (side[x] != side[y]))
+        assert got == {frozenset(z) for z in zip(x[ok].tolist(), y[ok].tolist(), strict=True)} and len(got) == len(i)
+
+
+def test_spanning_forest_is_the_least():
+    rng = np.random.default_rng(3)
+    for m, edges in ((1, 0), (6, 4), (40, 30), (40, 600)):
+        i, j, weight = rng.integers(0, m, edges), rng.integers(0, m, edges), rng.integers(0, 9, edges)
+        label, want = list(range(m)), []
+        for k in np.argsort(weight, kind="stable").tolist():
+            a, b = label[i[k]], label[j[k]]
+            if a != b:
+                label = [b if x == a else x for x in label]
+                want.append(k)
+        assert jaccard.spanning_forest(i, j, weight, m).tolist() == sorted(want)
+
+
+def test_blocks_of_long_lists_meet_where_components_differ(spark, monkeypatch):
+    """Every two sets of a list with different labels share one place, sets of a large component none of their own."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    label = {i: 0 if i < 40 else 40 if i < 70 else i for i in range(90)}
+    sets = spark.createDataFrame([(i, 9, bytearray(64), [5, 7] if i < 90 else [6]) for i in range(120)], "doc_id long, n long, bitmap binary, prefix array<long>")
+    labels = spark.createDataFrame([(i, x) for i, x in label.items() if i != x] + [(i, 90) for i in range(90, 120)], "id long, label long")
+    long = jaccard.long_lists(sets)
+    assert {r.token for r in long.collect()} == {5, 6, 7}
+    places = {}
+    for r in jaccard.block_pairs(sets, long, labels).collect():
+        assert r.token in (5, 7) and r.b in (r.lo, r.hi)
+        places.setdefault((r.token, r.lo, r.hi), []).append((r.rid, r.b, r.label))
+    pairs = [(t, frozenset((a, x))) for (t, lo, hi), rows in places.items() for a, b, la in rows for x, y, lx in rows if a < x and la != lx and (b != y or lo == hi)]
+    want = {(t, frozenset((a, x))) for t in (5, 7) for a in label for x in label if a < x and label[a] != label[x]}
+    assert set(pairs) == want and len(pairs) == len(want)
+    assert max(map(len, places.values())) < 60
 
 
 def test_sketches_bound_differences_from_below():
