@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 from decimal import Decimal
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +163,21 @@ def with_payload_hash(entries: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     return entries.mapInArrow(run, StructType([*entries.schema.fields, StructField("hash", StringType())]))
 
 
+def copy_range(old: BinaryIO, new: BinaryIO, size: int, chunk: int = 1 << 20) -> None:
+    """The next size bytes of old written to new, a chunk at a time."""
+    while size:
+        part = old.read(min(chunk, size))
+        if not part:
+            raise ContainerError(f"{old.name}: ends {size} bytes before its payload does")
+        new.write(part)
+        size -= len(part)
+
+
 def write_layout(placed: DataFrame, out_root: str, root: str) -> DataFrame:
     """Bundles rewritten with shared, aligned payloads: placed is layout.pack over the source's entries with size and is_first.
 
-    One task writes one bundle: companion first, then the table, each to a temporary name that is then renamed. Returns
+    One task writes one bundle: stream file, companion, then the table, copied in chunks to names of the attempt's own that
+    are renamed at the end, so a task that is lost or run twice leaves no part of a file under a final name. Returns
     bundle, bytes_before, bytes_after. A bundle is bounded by its file table, so its entries meet in one task.
     """
 
@@ -177,19 +191,21 @@ def write_layout(placed: DataFrame, out_root: str, root: str) -> DataFrame:
         n_types = struct.unpack_from("<I", data, 4)[0]
         table = HEADER_BYTES + TYPE_BYTES * n_types
         end = 0
-        with open(source + GPU, "rb") as old, open(target + GPU + ".tmp", "wb") as new:
+        own = f".{uuid.uuid4().hex}.tmp"
+        with open(source + GPU, "rb") as old, open(target + GPU + own, "wb") as new:
             for e in group[group["is_first"] & (group["size"] > 0)].sort_values("new_offset").itertuples():
                 new.write(b"\0" * (e.new_offset - end))
                 old.seek(e.gpu_offset)
-                new.write(old.read(e.size))
+                copy_range(old, new, e.size)
                 end = e.new_offset + e.size
         for e in group[group["size"] > 0].itertuples():
             struct.pack_into("<Q", data, table + ENTRY_BYTES * e.pos + 0x20, e.new_offset)
-        Path(target + ".tmp").write_bytes(bytes(data))
+        Path(target + own).write_bytes(bytes(data))
         if os.path.exists(source + STREAM):
-            Path(target + STREAM).write_bytes(Path(source + STREAM).read_bytes())
-        os.replace(target + GPU + ".tmp", target + GPU)
-        os.replace(target + ".tmp", target)
+            shutil.copyfile(source + STREAM, target + STREAM + own)
+            os.replace(target + STREAM + own, target + STREAM)
+        os.replace(target + GPU + own, target + GPU)
+        os.replace(target + own, target)
         return pd.DataFrame([(source, os.path.getsize(source + GPU), end)], columns=["bundle", "bytes_before", "bytes_after"])
 
     return placed.select("bundle", "pos", "gpu_offset", "size", "is_first", "new_offset").groupBy("bundle").applyInPandas(write, "bundle string, bytes_before long, bytes_after long")
@@ -204,5 +220,5 @@ def backup(path: str, folder: str = "backup") -> list[str]:
         raise FileExistsError(taken[0])
     os.makedirs(there, exist_ok=True)
     for f, c in zip(files, copies, strict=True):
-        Path(c).write_bytes(Path(f).read_bytes())
+        shutil.copyfile(f, c)
     return copies

@@ -45,6 +45,7 @@ def test_payloads_pack_and_verify(spark, root, tmp_path_factory):
     placed = layout.pack(entries, ["hash"])
     sizes = container.write_layout(placed, out, root).collect()
     assert {(r.bytes_before, r.bytes_after) for r in sizes} == {(3 * 8192 + 128 + 512, 2 * 8192 + 128 + 512)}
+    assert not [f for _, _, files in os.walk(out) for f in files if f.endswith(".tmp")]
     after = container.with_payload_hash(read(spark, out)).withColumn("size", F.col("gpu_size"))
     strip = lambda df, r: df.withColumn("bundle", F.expr(f"substring(bundle, {len(r) + 1})"))
     columns = ["cpu_offset", "cpu_size", "prefix_id", "size", "hash", "file_id", "type_name"]
@@ -82,3 +83,13 @@ def test_backup_never_overwrites(root):
     assert len(container.backup(path)) == 3
     with pytest.raises(FileExistsError):
         container.backup(path)
+
+
+def test_copies_in_chunks(tmp_path):
+    (tmp_path / "x").write_bytes(bytes(range(200)))
+    with open(tmp_path / "x", "rb") as old, open(tmp_path / "y", "wb") as new:
+        old.seek(10)
+        container.copy_range(old, new, 100, chunk=7)
+        with pytest.raises(container.ContainerError, match="before its payload"):
+            container.copy_range(old, new, 100, chunk=7)
+    assert (tmp_path / "y").read_bytes()[:100] == bytes(range(10, 110))
