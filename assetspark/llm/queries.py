@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetspark.llm import htmltext, jaccard, licenses, linededup, mixing, packing, pii, spotsigs, topk, toxicity
+from assetspark.llm import htmltext, jaccard, licenses, linededup, merkle, mixing, packing, pii, spotsigs, topk, toxicity
 from assetspark.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_top_k": lambda spark, sf_dir: topk.top_k(table(spark, sf_dir, "embeddings")),
     "op9_html_text": lambda spark, sf_dir: htmltext.extract_main_text(table(spark, sf_dir, "pages")),
     "op10_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
+    "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest_digest(table(spark, sf_dir, "documents")),
 }
 
 #: A line goes if it lies in a run of 3 words or more that also stands at an earlier place. Runs are looked at from
@@ -53,4 +54,38 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLES = {"op3_line_dedup": LINE_DEDUP, "op8_top_k": TOP_K}
+#: Levels, then the climb of each leaf, two by two; crc32 bit by bit over the digits of doc_id.
+MERKLE = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, n_chars, coalesce('1' || lang, '0') AS g,
+    list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f,
+    xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b:
+      list_reduce(range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, g, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) ELSE sha256(f[1] || f[2] || f[3] || f[4] || f[5]) END AS altered
+  FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+nodes AS (
+  SELECT g, 0 AS level, pos, n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY g, level, pos // 2, n),
+subroots AS (SELECT g, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+climb AS (
+  SELECT doc_id, g, leaf, pos AS own, 0 AS level, pos, n, altered AS at, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.g, c.leaf, c.own, c.level + 1, c.pos // 2, (c.n + 1) // 2, sha256(CASE WHEN c.pos % 2 = 1 THEN s.hash || c.at ELSE c.at || coalesce(s.hash, '') END), c.proof || coalesce(s.hash, '')
+  FROM climb c LEFT JOIN nodes s ON s.g = c.g AND s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1),
+higher AS (
+  SELECT c.doc_id, c.leaf, c.own, r.hash AS subroot, 0 AS level, r.pos, r.n, c.at, c.proof FROM climb c JOIN subroots r ON r.g = c.g WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.own, c.subroot, c.level + 1, c.pos // 2, (c.n + 1) // 2, sha256(CASE WHEN c.pos % 2 = 1 THEN s.hash || c.at ELSE c.at || coalesce(s.hash, '') END), c.proof || coalesce(s.hash, '')
+  FROM higher c LEFT JOIN tops s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1)
+SELECT h.doc_id, h.leaf, h.subroot, t.hash AS root, sha256(h.proof) AS proof_sha256, h.at AS folded_root, h.at = t.hash AS verified FROM higher h JOIN tops t ON t.n = 1 WHERE h.n = 1"""
+
+ORACLES = {"op3_line_dedup": LINE_DEDUP, "op8_top_k": TOP_K, "op11_merkle_manifest": MERKLE}
