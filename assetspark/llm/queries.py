@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetspark.llm import htmltext, jaccard, licenses, linededup, merkle, mixing, packing, pii, spotsigs, topk, toxicity
+from assetspark.llm import htmltext, jaccard, licenses, linededup, merkle, mixing, packing, pii, simhash, spotsigs, topk, toxicity
 from assetspark.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html_text": lambda spark, sf_dir: htmltext.extract_main_text(table(spark, sf_dir, "pages")),
     "op10_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest_digest(table(spark, sf_dir, "documents")),
+    "op12_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
 }
 
 #: A line goes if it lies in a run of 3 words or more that also stands at an earlier place. Runs are looked at from
