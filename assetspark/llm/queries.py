@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetspark.llm import htmltext, jaccard, licenses, linededup, merkle, mixing, packing, pii, simhash, spotsigs, topk, toxicity
+from assetspark.llm import htmltext, jaccard, licenses, linededup, merkle, mixing, negatives, packing, pii, simhash, spotsigs, topk, toxicity
 from assetspark.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
     "op11_merkle_manifest": lambda spark, sf_dir: merkle.manifest_digest(table(spark, sf_dir, "documents")),
     "op12_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
+    "op13_hard_negatives": lambda spark, sf_dir: negatives.hard_negatives(table(spark, sf_dir, "embeddings")),
 }
 
 #: A line goes if it lies in a run of 3 words or more that also stands at an earlier place. Runs are looked at from
@@ -89,4 +90,19 @@ higher AS (
   FROM higher c LEFT JOIN tops s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1)
 SELECT h.doc_id, h.leaf, h.subroot, t.hash AS root, sha256(h.proof) AS proof_sha256, h.at AS folded_root, h.at = t.hash AS verified FROM higher h JOIN tops t ON t.n = 1 WHERE h.n = 1"""
 
-ORACLES = {"op3_line_dedup": LINE_DEDUP, "op8_top_k": TOP_K, "op11_merkle_manifest": MERKLE}
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+found AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5"""
+
+ORACLES = {"op13_hard_negatives": HARD_NEGATIVES, "op3_line_dedup": LINE_DEDUP, "op8_top_k": TOP_K, "op11_merkle_manifest": MERKLE}
