@@ -1,7 +1,7 @@
 """Pixels and 4x4 blocks as numpy arrays: decoding, encoding, resampling, statistics. Surfaces are (h, w, 4) uint8, RGBA.
 
-Written from the public descriptions of the block formats. BC7 is written and read in its mode without partitions and
-with one index set (6); blocks of other modes raise, and callers turn that into a reason.
+Written from the public descriptions of the block formats. BC7 is read in all its modes (bc7.py) and written in the one
+without partitions and with one index set (6).
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 from assetspark.formats import FORMATS
+from assetspark.functions import bc7
 
-#: Weights of sixteen steps between two end points, out of 64.
-WEIGHTS4 = np.array([0, 4, 9, 13, 17, 21, 26, 30, 34, 38, 43, 47, 51, 55, 60, 64])
+WEIGHTS4 = np.array(bc7.WEIGHTS[4])
 RGBA8, BGRA8 = (28, 29), (87, 91)
 BC1, BC3, BC4, BC5, BC7 = (71, 72), (77, 78), (80,), (83,), (98, 99)
 BLOCK_BYTES = {f[0]: f[2] for f in FORMATS if f[2]}
@@ -21,6 +21,12 @@ class UnsupportedFormat(ValueError):
     pass
 
 
+def surface_size(w: int, h: int, code: int) -> int:
+    """Bytes of one level; 0 for formats without a size."""
+    block, pixel = next(((f[2], f[3]) for f in FORMATS if f[0] == code), (0, 0))
+    return max(1, (w + 3) // 4) * max(1, (h + 3) // 4) * block if block else w * h * pixel
+
+
 def to_blocks(surface: np.ndarray) -> np.ndarray:
     """(blocks, 16, channels), rows of blocks first; sides that aren't multiples of 4 repeat their last pixels."""
     h, w = surface.shape[:2]
@@ -74,20 +80,6 @@ def _ramp(data: np.ndarray) -> np.ndarray:
     return np.take_along_axis(palette, _bits(words.view("<u8")[:, 0], 3, 16).astype(np.int64), 1).astype(np.uint8)
 
 
-def _mode6(data: np.ndarray) -> np.ndarray:
-    lo, hi = (np.ascontiguousarray(data[:, i : i + 8]).view("<u8")[:, 0] for i in (0, 8))
-    if len(data) and (lo & np.uint64(0x7F) != np.uint64(0x40)).any():
-        raise UnsupportedFormat("BC7 blocks of other modes than 6")
-    field = lambda at: ((lo >> np.uint64(at)) & np.uint64(127)).astype(np.int64)
-    p = np.stack([(lo >> np.uint64(63)) & np.uint64(1), hi & np.uint64(1)], 1).astype(np.int64)
-    ends = np.stack([np.stack([field(7 + 14 * c + 7 * e) for c in range(4)], 1) * 2 + p[:, e : e + 1] for e in (0, 1)], 1)
-    index = np.zeros((len(data), 16), np.int64)
-    index[:, 0] = ((hi >> np.uint64(1)) & np.uint64(7)).astype(np.int64)
-    index[:, 1:] = _bits(hi >> np.uint64(4), 4, 15).astype(np.int64)
-    w = WEIGHTS4[index][..., None]
-    return ((ends[:, 0:1] * (64 - w) + ends[:, 1:2] * w + 32) // 64).astype(np.uint8)
-
-
 def decode(payload: bytes, w: int, h: int, code: int) -> np.ndarray:
     """A surface of any format that can be shown as RGBA."""
     if code in RGBA8 or code in BGRA8:
@@ -112,7 +104,7 @@ def decode(payload: bytes, w: int, h: int, code: int) -> np.ndarray:
     elif code in BC5:
         out[..., 0], out[..., 1] = _ramp(data), _ramp(data[:, 8:])
     else:
-        out = _mode6(data)
+        out = bc7.decode(data)
     return from_blocks(out, w, h)
 
 
