@@ -94,12 +94,7 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("tex_id", F.transform("q", value).alias("v"))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per channel value: tex_id, x, y, ch, v."""
-    flat = surfaces(spark, sf_dir).select("tex_id", F.posexplode("v").alias("i", "v"))
-    return flat.selectExpr("tex_id", "CAST((i div 4) % 4 AS BIGINT) AS x", "CAST(i div 16 AS BIGINT) AS y", "CAST(i % 4 AS BIGINT) AS ch", "v")
-
-
+#: Surfaces as rows of channel values: tex_id, x, y, ch, v.
 PIXELS = """q AS (
   SELECT vec_id AS tex_id, unnest(embedding) AS e, unnest(range(0, 64)) AS i FROM embeddings),
 raw AS (

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetspark.bindings import TEXTURES, layered, pixels, textures
+from assetspark.bindings import TEXTURES, layered, textures
 from assetspark.functions.dialect import DUCK, SPARK
-from assetspark.operators import layout, plan, profile, rules
+from assetspark.operators import layout, plan, rules
 from assetspark.operators.plan import Options
 from assetspark.plans.registry import query
-from assetspark.plans.relational import ANALYSIS
+from assetspark.plans.relational import ANALYSIS, analysed
 
 #: The grid over which rules are compared: options by name.
 GRID = {
@@ -42,7 +42,7 @@ def _candidates_sql(names) -> str:
 
 def grid(spark, sf_dir, names):
     """The textures under each option of the grid: options are a short list, dealt beside each row."""
-    c = plan.candidates(textures(spark, sf_dir), profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).drop("a_distinct"))
+    c = plan.candidates(textures(spark, sf_dir), analysed(spark, sf_dir).drop("a_distinct", "v"))
     options = [F.struct(F.lit(n).alias("option"), *(v.alias(k) for k, v in GRID[n].columns().items())) for n in names]
     return c.withColumn("o", F.explode(F.array(*options))).select("*", "o.*").drop("o")
 
@@ -109,7 +109,7 @@ def _totals_sql(name: str, columns) -> str:
 
 
 def built(spark, sf_dir, name: str):
-    analysis = profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).drop("a_distinct")
+    analysis = analysed(spark, sf_dir).drop("a_distinct", "v")
     return plan.build(textures(spark, sf_dir), analysis, GRID[name])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetspark.bindings import ASSETS, PIXELS, asset_rows, assets, pixels, read, surfaces
+from assetspark.bindings import ASSETS, PIXELS, asset_rows, assets, read, surfaces
 from assetspark.functions.dialect import DUCK, SPARK
 from assetspark.operators import layout, profile, verify
 from assetspark.plans.registry import query
@@ -184,7 +184,7 @@ def analysis_chunks(spark, sf_dir):
 
 @query("channel_histogram", f"WITH {PIXELS} SELECT tex_id, ch, v, count(*) AS n FROM pixels GROUP BY ALL")
 def channel_histogram(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy("tex_id", "ch", "v").agg(F.count("*").alias("n"))
+    return profile.histogram(surfaces(spark, sf_dir))
 
 
 STATS = f"{PIXELS}, stats AS (SELECT tex_id, ch, min(v) AS min_v, max(v) AS max_v, count(DISTINCT v) AS n_distinct, avg(v) AS mean_v FROM pixels GROUP BY ALL)"
@@ -195,14 +195,25 @@ analysis AS (
   SELECT tex_id, solid, flat_rgb AND a <> a_max AS flat_alpha, a <> a_max OR a <> 255 AS alpha_detail, a_distinct = 2 AND a = 0 AND a_max = 255 AS binary_alpha, r, g, b, a, a_distinct FROM wide)"""
 
 
+def analysed(spark, sf_dir):
+    """The surfaces with what they hold."""
+    return profile.analyse(profile.profiles(surfaces(spark, sf_dir), whole=True))
+
+
+def as_pixels(small):
+    """Surfaces as one row per channel value, as they are reported."""
+    flat = small.select("tex_id", "w", F.posexplode("v").alias("i", "v"))
+    return flat.selectExpr("tex_id", "CAST(i % 4 AS BIGINT) AS ch", "(i div 4) % w AS x", "(i div 4) div w AS y", "v")
+
+
 @query("channel_stats", f"WITH {STATS} SELECT tex_id, ch, min_v, max_v, n_distinct, round(mean_v, 6) AS mean_v FROM stats")
 def channel_stats(spark, sf_dir):
-    return profile.channel_stats(pixels(spark, sf_dir)).withColumn("mean_v", F.round("mean_v", 6))
+    return profile.channel_stats(profile.profiles(surfaces(spark, sf_dir), whole=True)).withColumn("mean_v", F.round("mean_v", 6))
 
 
 @query("solid_flag", f"WITH {ANALYSIS} SELECT tex_id, solid FROM analysis")
 def solid_flag(spark, sf_dir):
-    return profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).select("tex_id", "solid")
+    return analysed(spark, sf_dir).select("tex_id", "solid")
 
 
 @query(
@@ -215,24 +226,24 @@ def content_class(spark, sf_dir):
     solid, flat = F.col("solid"), F.col("flat_alpha") & ~F.col("solid")
     kind = F.when(solid, "one-value").when(flat, "one-colour").when(F.col("alpha_detail"), "transparent").otherwise("opaque")
     colour = [F.when(solid | flat, F.col(c)).alias(c) for c in "rgb"]
-    return profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).select("tex_id", "binary_alpha", kind.alias("class"), *colour, F.when(solid, F.col("a")).alias("a"), F.when(flat, F.col("a_distinct")).alias("n_alpha"))
+    return analysed(spark, sf_dir).select("tex_id", "binary_alpha", kind.alias("class"), *colour, F.when(solid, F.col("a")).alias("a"), F.when(flat, F.col("a_distinct")).alias("n_alpha"))
 
 
 @query("exact_565", f"WITH {ANALYSIS} SELECT tex_id, {DUCK.exact_565('r', 'g', 'b', '255')} AS exact_opaque, {DUCK.exact_565('(r // 8 * 8 + r // 32)', '(g // 4 * 4 + g // 64)', '(b // 8 * 8 + b // 32)', 'a')} AS exact_rounded FROM analysis")
 def exact_565(spark, sf_dir):
-    a = profile.analyse(profile.channel_stats(pixels(spark, sf_dir)))
+    a = analysed(spark, sf_dir)
     return a.selectExpr("tex_id", f"{SPARK.exact_565('r', 'g', 'b', '255')} AS exact_opaque", f"{SPARK.exact_565('(r div 8 * 8 + r div 32)', '(g div 4 * 4 + g div 64)', '(b div 8 * 8 + b div 32)', 'a')} AS exact_rounded")
 
 
 @query("half_res", f"WITH {PIXELS} SELECT tex_id, ch, x // 2 AS x, y // 2 AS y, CAST((sum(v) + 2) // 4 AS BIGINT) AS v FROM pixels GROUP BY ALL")
 def half_res(spark, sf_dir):
-    return profile.half_resolution(pixels(spark, sf_dir))
+    return as_pixels(profile.half_resolution(surfaces(spark, sf_dir).withColumns({"w": F.lit(4), "h": F.lit(4)})))
 
 
 @query("box_resample", f"WITH {PIXELS}, spans(t, s) AS (VALUES (0, 0), (1, 1), (2, 2), (2, 3)) SELECT tex_id, CAST(sx.t AS BIGINT) AS x, CAST(sy.t AS BIGINT) AS y, ch, CAST(sum(v) // count(v) AS BIGINT) AS v FROM pixels JOIN spans sx ON sx.s = x JOIN spans sy ON sy.s = y GROUP BY tex_id, sx.t, sy.t, ch")
 def box_resample(spark, sf_dir):
     """4x4 surfaces to 3x3."""
-    return profile.box_resample(pixels(spark, sf_dir), 4, 4, 3, 3)
+    return as_pixels(profile.box_resample(surfaces(spark, sf_dir).withColumns({"w": F.lit(4), "h": F.lit(4)}), 3, 3))
 
 
 @query("bgra_swizzle", f"WITH {PIXELS} SELECT tex_id, x, y, CASE ch WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE ch END AS ch, v FROM pixels")
@@ -268,6 +279,4 @@ def detail_verdict(spark, sf_dir):
 @query("analyse_surface", f"WITH {ANALYSIS}, {LOSS.split(TAPS + ', ', 1)[1].join([TAPS + ', ', ''])} SELECT a.tex_id, a.solid, a.flat_alpha, a.alpha_detail, a.binary_alpha, a.r, a.g, a.b, a.a, CASE WHEN a.solid OR l.mse <= 0 THEN 999.0 ELSE round(10 * log10(65025.0 / l.mse), 4) END AS psnr FROM analysis a JOIN loss l USING (tex_id)")
 def analyse_surface(spark, sf_dir):
     """Classes of content and the loss of halving, which solid surfaces are spared."""
-    a = profile.analyse(profile.channel_stats(pixels(spark, sf_dir)))
-    lost = profile.halving_loss(surfaces(spark, sf_dir))
-    return a.join(lost, "tex_id").select("tex_id", "solid", "flat_alpha", "alpha_detail", "binary_alpha", "r", "g", "b", "a", F.when(F.col("solid") | (F.col("mse") <= 0), 999.0).otherwise(F.round("psnr", 4)).alias("psnr"))
+    return profile.halving_loss(analysed(spark, sf_dir)).select("tex_id", "solid", "flat_alpha", "alpha_detail", "binary_alpha", "r", "g", "b", "a", F.when(F.col("solid") | (F.col("mse") <= 0), 999.0).otherwise(F.round("psnr", 4)).alias("psnr"))

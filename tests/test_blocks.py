@@ -57,9 +57,7 @@ def test_analysis_in_spark_equals_sql(spark, sf_dir):
     got = {r.key: r for r in codec.analyse_payloads(spark.createDataFrame(rows, "key string, payload binary, w int, h int, format int")).collect()}
     assert got["bad"].reason and got["hdr"].reason and len(got) == len(rows) - 1
     loss = {r.tex_id: r.psnr for r in profile.halving_loss(raw).collect()}
-    from assetspark.bindings import pixels
-
-    for r in profile.analyse(profile.channel_stats(pixels(spark, sf_dir))).filter("tex_id < 200").collect():
+    for r in profile.analyse(profile.profiles(raw)).filter("tex_id < 200").collect():
         if str(r.tex_id) in got:
             x = got[str(r.tex_id)]
             assert (x.solid, x.flat_alpha, x.alpha_detail, x.binary_alpha, x.r, x.g, x.b, x.a) == (r.solid, r.flat_alpha, r.alpha_detail, r.binary_alpha, r.r, r.g, r.b, r.a)
@@ -72,3 +70,23 @@ def test_encoding_in_spark(spark):
     got = {r.key: r for r in codec.encode_payloads(spark.createDataFrame(rows, "key string, payload binary, w int, h int, format int, to_format int, to_w int, to_h int, to_mips int")).collect()}
     assert len(got) == 2 and len(got["a"].encoded) == (16 + 4 + 1 + 1 + 1) * 16 and got["b"].reason
     assert psnr(blocks.decode(got["a"].encoded[:256], 16, 16, 98), blocks.resample(s, 16, 16), [0, 1, 2]) > 25
+
+
+def test_tiles_add_up_and_sizes_mix(spark):
+    """A surface in tiles has the profile of the whole, and surfaces of several sizes are resized in one frame."""
+    rng = np.random.default_rng(7)
+    held = {i: rng.integers(0, 256, (h, w, 4)) // (1 if i % 2 else 100) for i, (w, h) in enumerate([(8, 4), (6, 6), (5, 7), (64, 32)])}
+    tiles = [(i, x.tolist()) for i, s in held.items() for x in np.array_split(s.reshape(-1, 4), 3) for x in [x.reshape(-1)]]
+    whole = [(i, s.reshape(-1).tolist(), s.shape[1], s.shape[0]) for i, s in held.items()]
+    pieces, rows = spark.createDataFrame(tiles, "tex_id long, v array<long>"), spark.createDataFrame(whole, "tex_id long, v array<long>, w int, h int")
+    stats = sorted(profile.channel_stats(profile.profiles(pieces)).collect())
+    assert stats == sorted(profile.channel_stats(profile.profiles(rows, whole=True)).collect())
+    assert [(r.min_v, r.max_v, r.n_distinct) for r in stats] == [(s[..., c].min(), s[..., c].max(), len(np.unique(s[..., c]))) for s in held.values() for c in range(4)]
+    counts = {(r.tex_id, r.ch, r.v): r.n for r in profile.histogram(pieces).collect()}
+    assert counts == {(i, c, int(v)): n for i, s in held.items() for c in range(4) for v, n in zip(*np.unique(s[..., c], return_counts=True), strict=True)}
+    small = {r.tex_id: np.array(r.v).reshape(r.h, r.w, 4) for r in profile.half_resolution(rows).collect()}
+    for i, s in held.items():
+        x = s[: s.shape[0] // 2 * 2, : s.shape[1] // 2 * 2]
+        assert (small[i] == (x[0::2, 0::2] + x[1::2, 0::2] + x[0::2, 1::2] + x[1::2, 1::2] + 2) // 4).all()
+    boxed = {r.tex_id: r.v for r in profile.box_resample(rows, 3, 2).collect()}
+    assert all(boxed[i] == blocks.resample(s, 3, 2).reshape(-1).tolist() for i, s in held.items())
