@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetspark.functions.dialect import SPARK
@@ -37,13 +37,49 @@ def candidates(textures: DataFrame, analysis: DataFrame) -> DataFrame:
 
 
 def build(textures: DataFrame, analysis: DataFrame, options: Options = Options()) -> DataFrame:
-    """Every texture with its recommendation, sizes and outcome: 'planned', 'already-efficient' or why it was skipped."""
-    c = candidates(textures, analysis).withColumns(options.columns())
+    """Every texture with its recommendation, sizes and outcome: 'planned', 'already-efficient' or why it was skipped.
+
+    A column prefix of the textures, the room before their headers, goes before the option's. An analysis may have a
+    reason why a surface couldn't be looked at.
+    """
+    c = candidates(textures, analysis)
+    c = c.withColumns({k: v for k, v in options.columns().items() if k not in textures.columns})
+    if "reason" in analysis.columns:
+        c = c.withColumn("unsupported", F.coalesce("unsupported", F.when(F.col("reason").isNotNull(), "cannot-decode")))
     planned = rules.predict(rules.recommend(c).withColumn("include", F.lit(True)))
     outcome = F.coalesce("unsupported", F.when(F.col("predicted_size") >= F.col("gpu_size"), "already-efficient"), F.lit("planned"))
     return planned.withColumn("outcome", outcome).withColumn("include", outcome == "planned")
 
 
+#: What may be edited in a plan, and where the recommendation for it is kept.
+EDITABLE = ("include", "to_format", "to_w", "to_h")
+
+
+def with_recommendation(plan: DataFrame) -> DataFrame:
+    """plan with the recommendation kept beside what may be edited."""
+    return plan.withColumns({f"recommended_{c}": F.col(c) for c in EDITABLE})
+
+
+def repredicted(plan: DataFrame) -> DataFrame:
+    """plan with its sizes worked out again, as after an edit."""
+    made = ("predicted_size", "predicted_stream_size", "to_chain")
+    return rules.predict(plan.drop(*made))
+
+
+def reset(plan: DataFrame, which: Column | bool = True) -> DataFrame:
+    """plan with the rows of `which` back at their recommendation."""
+    chosen = which if isinstance(which, Column) else F.lit(which)
+    back = plan.withColumn("__reset", chosen)
+    for c in EDITABLE:
+        back = back.withColumn(c, F.when(F.col("__reset"), F.col(f"recommended_{c}")).otherwise(F.col(c)))
+    return repredicted(back.drop("__reset"))
+
+
+def is_recommended(plan: DataFrame) -> DataFrame:
+    """plan with recommended: whether format and size are those of the recommendation."""
+    return plan.withColumn("recommended", F.expr(" AND ".join(f"{c} = recommended_{c}" for c in EDITABLE[1:])))
+
+
 def totals(plan: DataFrame) -> DataFrame:
     """Per bundle: entries planned and skipped, resident bytes before and after, bytes moved to the stream file."""
     kept = F.col("include")

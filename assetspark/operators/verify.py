@@ -86,6 +86,18 @@ def check_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     return missing.select("bundle", F.lit("missing-file").alias("category"), F.lit(None).cast("long").alias("pos"), F.col("ending").alias("detail"))
 
 
+def check_companions(entries: DataFrame, lengths: DataFrame, stream_lengths: DataFrame) -> DataFrame:
+    """check_files over the companions whose lengths could be taken."""
+    there = lengths.select(F.concat("bundle", F.lit(".gpu_resources")).alias("path")).union(stream_lengths.select(F.concat("bundle", F.lit(".stream"))))
+    return check_files(entries, there)
+
+
+def check_texture_headers(textures: DataFrame, readable: Column | None = None, detail: Column | None = None) -> DataFrame:
+    """Textures without a header that can be read, by default those without a width, or without a payload."""
+    readable = F.col("w").isNotNull() if readable is None else readable
+    return issues(textures, ("texture-header", ~readable | (F.col("gpu_size") == 0), F.col("name") if detail is None else detail))
+
+
 def check_stream_tables(textures: DataFrame, tables: DataFrame) -> DataFrame:
     """Streamed textures whose level table differs from that of their format and size: the first bad level of each.
 

@@ -20,7 +20,9 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed values of the format.
 MAGIC = 0xF0000011
@@ -35,7 +37,7 @@ ENTRY_DTYPE = np.dtype([
 GPU, STREAM = ".gpu_resources", ".stream"
 SCHEMA = (
     "bundle string, pos long, file_id decimal(20,0), name string, type_id decimal(20,0), type_name string, cpu_offset long, cpu_size long, gpu_offset long, gpu_size long, stream_offset long, stream_size long, index long, "
-    "w long, h long, format long, mips long, linear_size long, flags long, has_dx10 boolean, first_resident long, prefix_id long"
+    "w long, h long, format long, mips long, linear_size long, flags long, has_dx10 boolean, first_resident long, prefix_id long, prefix long"
 )
 NOT_STREAMED = 0xFFFFFFFF
 
@@ -70,11 +72,11 @@ def dds_header(payload: bytes) -> dict | None:
     return {
         "w": w, "h": h, "flags": flags, "linear_size": linear, "mips": struct.unpack_from("<I", payload, at + 0x1C)[0], "has_dx10": dx10,
         "format": struct.unpack_from("<I", payload, at + 0x80)[0] if dx10 else 0,
-        "prefix_id": struct.unpack_from("<I", payload)[0] if at >= 4 else None, "first_resident": struct.unpack_from("<I", payload, 8)[0] if at >= 12 else NOT_STREAMED,
+        "prefix_id": struct.unpack_from("<I", payload)[0] if at >= 4 else None, "first_resident": struct.unpack_from("<I", payload, 8)[0] if at >= 12 else NOT_STREAMED, "prefix": at,
     }
 
 
-HEADER_FIELDS = ("w", "h", "format", "mips", "linear_size", "flags", "has_dx10", "first_resident", "prefix_id")
+HEADER_FIELDS = ("w", "h", "format", "mips", "linear_size", "flags", "has_dx10", "first_resident", "prefix_id", "prefix")
 
 
 def entry_rows(path: str, data: bytes) -> Iterator[tuple]:
@@ -142,25 +144,66 @@ class BundleSource(DataSource):
         return _Reader(self.options)
 
 
-def with_payload_hash(entries: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """entries with hash, the SHA-256 of the GPU payload, read by offset in chunks; null where the file ends before it."""
+def digest_ranges(ranges: DataFrame, name: str, place: tuple[str, str, str] = ("source", "source_at", "size"), chunk: int = 1 << 20) -> DataFrame:
+    """ranges (a file, a place in it, a size and other columns) with the SHA-256 of their bytes, read by offset in chunks; null where the file ends before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = []
-            for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("bundle", "gpu_offset", "gpu_size")), strict=True):
+            for path, at, size in zip(*(batch.column(c).to_pylist() for c in place), strict=True):
                 digest, left = hashlib.sha256(), size
-                with open(path + GPU, "rb") as f:
+                with open(path, "rb") as f:
                     f.seek(at)
                     while left and (part := f.read(min(chunk, left))):
                         digest.update(part)
                         left -= len(part)
                 hashes.append(None if left else digest.hexdigest().upper())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], [*batch.schema.names, "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], [*batch.schema.names, name])
+
+    return ranges.mapInArrow(run, StructType([*ranges.schema.fields, StructField(name, StringType())]))
+
+
+def with_payload_hash(entries: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """entries with hash, the SHA-256 of the GPU payload; null where the file ends before it."""
+    place = ("__source", "__at", "__size")
+    named = entries.withColumns(dict(zip(place, (F.concat("bundle", F.lit(GPU)), F.col("gpu_offset"), F.col("gpu_size")), strict=True)))
+    return digest_ranges(named, "hash", place, chunk).drop(*place)
 
-    from pyspark.sql.types import StringType, StructField, StructType
 
-    return entries.mapInArrow(run, StructType([*entries.schema.fields, StructField("hash", StringType())]))
+def file_lengths(bundles: DataFrame, ending: str = GPU) -> DataFrame:
+    """bundle, file_length of the companions that are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [p + ending for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([os.path.getsize(f) if os.path.exists(f) else None for f in files], pa.int64())], ["bundle", "file_length"])
+
+    return bundles.select("bundle").mapInArrow(run, "bundle string, file_length long").filter("file_length IS NOT NULL")
+
+
+def level_tables(textures: DataFrame) -> DataFrame:
+    """bundle, pos, level, level_size, next_offset, rest: the level tables in the prefixes of streamed textures, as they stand.
+
+    A level's size is what lies between its start and the next one's, the last one's what is left of the total.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, pos, at, mips, prefix in zip(*(batch.column(c).to_pylist() for c in ("bundle", "pos", "cpu_offset", "mips", "prefix")), strict=True):
+                with open(path, "rb") as f:
+                    f.seek(at)
+                    held = f.read(prefix)
+                total, before = int.from_bytes(held[16:20], "little"), 0
+                for level in range(min(max(mips, 1), max(0, (prefix - 20) // 12))):
+                    following, rest = struct.unpack_from("<II", held, 20 + 12 * level + 4)
+                    last = level == mips - 1
+                    out.append((path, pos, level, (total if last else following) - before, following, rest))
+                    before = following
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 5))], ["bundle", "pos", "level", "level_size", "next_offset", "rest"])
+
+    streamed = textures.filter("stream_size > 0 AND prefix IS NOT NULL").select("bundle", "pos", "cpu_offset", "mips", "prefix")
+    return streamed.mapInArrow(run, "bundle string, pos long, level long, level_size long, next_offset long, rest long")
 
 
 def copy_range(old: BinaryIO, new: BinaryIO, size: int, chunk: int = 1 << 20) -> None:

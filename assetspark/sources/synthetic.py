@@ -23,8 +23,9 @@ def texture_header(w: int, h: int, code: int, mips: int = 1, linear: int = 0, fl
     return bytes(prefix + dds)
 
 
-def write_bundle(path: str | Path, entries: list[tuple[int, bytes, bytes]], stream: bytes = b"") -> None:
-    """entries: (type id, CPU payload, GPU payload), grouped by type in the file as they first come."""
+def write_bundle(path: str | Path, entries: list[tuple[int, bytes, bytes]], stream: bytes | None = b"", streamed: dict[int, tuple[int, int]] | None = None) -> None:
+    """entries: (type id, CPU payload, GPU payload), grouped by type in the file as they first come; streamed: places in the stream file by entry."""
+    places = streamed or {}
     order = list(dict.fromkeys(t for t, _, _ in entries))
     entries = sorted(enumerate(entries), key=lambda e: order.index(e[1][0]))
     tables = bytearray(struct.pack("<IIQ", MAGIC, len(order), len(entries)) + bytes(HEADER_BYTES - 16))
@@ -34,12 +35,13 @@ def write_bundle(path: str | Path, entries: list[tuple[int, bytes, bytes]], stre
     cpu, gpu = bytearray(), bytearray()
     for slot, (number, (t, header, payload)) in enumerate(entries):
         gpu += bytes(-len(gpu) % ALIGNMENT)
-        tables += struct.pack("<QQQQQQQIIIIII", 0x1000 + number, t, at + len(cpu), 0, len(gpu), 0, 0, len(header), 0, len(payload), 16, 64, slot)
+        tables += struct.pack("<QQQQQQQIIIIII", 0x1000 + number, t, at + len(cpu), places.get(number, (0, 0))[0], len(gpu), 0, 0, len(header), places.get(number, (0, 0))[1], len(payload), 16, 64, slot)
         cpu += header
         gpu += payload
     Path(path).write_bytes(bytes(tables + cpu))
     Path(str(path) + GPU).write_bytes(bytes(gpu))
-    Path(str(path) + STREAM).write_bytes(stream)
+    if stream is not None:
+        Path(str(path) + STREAM).write_bytes(stream)
 
 
 def opaque(size: int, seed: int) -> tuple[int, bytes, bytes]:
@@ -48,3 +50,9 @@ def opaque(size: int, seed: int) -> tuple[int, bytes, bytes]:
 
 def plain_texture(w: int, h: int, pixel) -> tuple[int, bytes, bytes]:
     return TEXTURE, texture_header(w, h, 28, linear=4 * w), b"".join(bytes(pixel(x, y)) for y in range(h) for x in range(w))
+
+
+def chained_texture(w: int, h: int, code: int, mips: int, level, prefix_id: int = 0x0172E796) -> tuple[int, bytes, bytes]:
+    """A texture with a chain, level(i) giving the bytes of each."""
+    levels = [level(i) for i in range(mips)]
+    return TEXTURE, texture_header(w, h, code, mips, len(levels[0]), prefix_id=prefix_id), b"".join(levels)
