@@ -12,7 +12,8 @@ from assetspark.operators import codec, layout, verify
 from assetspark.operators import plan as plans
 from assetspark.operators.apply import apply_plan
 from assetspark.operators.plan import Options
-from assetspark.sources.container import GPU, STREAM, BundleSource, file_lengths, level_tables, with_payload_hash
+from assetspark.sources import listing
+from assetspark.sources.container import GPU, STREAM, ContainerError, entries_at, file_lengths, level_tables, with_payload_hash
 from assetspark.sources.shared import stored
 
 #: What becomes of a plan's texture, beside where it is and what it was.
@@ -20,9 +21,15 @@ CHOICE = ["to_format", "to_w", "to_h", "to_mips", "drop_levels", "resident", "ge
 
 
 def entries_of(spark: SparkSession, root: str) -> DataFrame:
-    """The entries of all bundles under root, or of one bundle, with the hash of each payload, as a table."""
-    spark.dataSource.register(BundleSource)
-    return stored(with_payload_hash(spark.read.format("bundle").load(root)), "entries")
+    """The entries of all bundles under root, or of one bundle, with the hash of each payload, as a table. A bundle that can't be parsed is an error."""
+    if os.path.isfile(root):
+        bundles = spark.createDataFrame([(root,)], "bundle string")
+    else:
+        bundles = listing.discover(spark, root)[0].select(F.col("path").alias("bundle"))
+    entries, errors = entries_at(bundles.repartition(spark.sparkContext.defaultParallelism, "bundle"))
+    if bad := errors.first():
+        raise ContainerError(f"{bad['bundle']}: {bad['error']}")
+    return stored(with_payload_hash(entries), "entries")
 
 
 def textures_of(entries: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """The packed container as a Spark data source, and writers of its files.
 
-`spark.read.format("bundle").load(folder)` lists bundles under a folder and gives one row for each entry of their file
-tables; payloads stay where they are and are read by offset in the tasks that need them. One bundle is one partition.
-A bundle that can't be parsed fails its task with the reason, unless mode is "skip".
+`spark.read.format("bundle").load(path)` gives one row for each entry of the file tables of a bundle, or of all bundles
+under a folder; one bundle is one partition. Only tables are read, and of a texture the bytes of its header. A schema
+given with `.schema(...)` names the columns wanted: without those of the header no header is read, and the columns
+PAYLOAD, which are read on demand only, bring the resident payload or why it can't be had. With option pushdown (and
+spark.sql.python.filterPushdown.enabled) filters on bundle, type_name and pos leave out files and entries unread.
+
+A bundle that can't be parsed fails its task with the reason, unless mode is "skip". Listing runs on the driver here;
+listing.discover lists in tasks, and entries_at reads the bundles of a frame.
 """
 
 from __future__ import annotations
@@ -21,8 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
+
+from assetspark.sources.shared import stored
 
 #: Fixed values of the format.
 MAGIC = 0xF0000011
@@ -79,19 +87,50 @@ def dds_header(payload: bytes) -> dict | None:
 HEADER_FIELDS = ("w", "h", "format", "mips", "linear_size", "flags", "has_dx10", "first_resident", "prefix_id", "prefix")
 
 
-def entry_rows(path: str, data: bytes) -> Iterator[tuple]:
-    _, entries = parse(data, path)
-    for pos, e in enumerate(entries):
-        header = dds_header(data[int(e["cpu_offset"]) : int(e["cpu_offset"]) + int(e["cpu_size"])]) if int(e["type_id"]) == TEXTURE else None
-        type_id = int(e["type_id"])
-        yield (
-            path, pos, Decimal(int(e["file_id"])), f"{int(e['file_id']):016X}", Decimal(type_id), TYPE_NAMES.get(type_id, f"{type_id:016X}"),
-            *(int(e[c]) for c in ("cpu_offset", "cpu_size", "gpu_offset", "gpu_size", "stream_offset", "stream_size", "index")), *((header or {}).get(c) for c in HEADER_FIELDS),
-        )
+PAYLOAD = ("payload", "payload_error")
+FULL_SCHEMA = f"{SCHEMA}, payload binary, payload_error string"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def read_range(path: str, at: int, size: int) -> tuple[bytes | None, str | None]:
+    """(size bytes from a place of a file, None), or (None, why they can't be had)."""
+    try:
+        with open(path, "rb") as f:
+            f.seek(at)
+            held = f.read(size)
+    except OSError as error:
+        return None, error.strerror
+    return (held, None) if len(held) == size else (None, f"read past end: {size - len(held)} of {size} bytes at {at} are missing")
+
+
+def entry_rows(path: str, columns: list[str] = COLUMNS, keep=lambda row: True) -> Iterator[tuple]:
+    """Rows of the columns asked for of a bundle's entries that keep accepts by pos and type_name. Only what they need is read."""
+    with open(path, "rb") as f:
+        size = os.fstat(f.fileno()).st_size
+        head = f.read(16)
+        n_types, n_files = struct.unpack_from("<IQ", head, 4) if len(head) == 16 else (0, 0)
+        f.seek(0)
+        _, entries = parse(f.read(min(size, HEADER_BYTES + TYPE_BYTES * n_types + ENTRY_BYTES * n_files)), path)
+        wants_header, wants_payload = (any(c in columns for c in names) for names in (HEADER_FIELDS, PAYLOAD))
+        for pos, e in enumerate(entries):
+            type_id = int(e["type_id"])
+            row = {"bundle": path, "pos": pos, "type_name": TYPE_NAMES.get(type_id, f"{type_id:016X}")}
+            if not keep(row):
+                continue
+            row |= {"file_id": Decimal(int(e["file_id"])), "name": f"{int(e['file_id']):016X}", "type_id": Decimal(type_id)}
+            row |= {c: int(e[c]) for c in ("cpu_offset", "cpu_size", "gpu_offset", "gpu_size", "stream_offset", "stream_size", "index")}
+            if wants_header and type_id == TEXTURE:
+                f.seek(row["cpu_offset"])
+                row |= dds_header(f.read(row["cpu_size"])) or {}
+            if wants_payload:
+                row["payload"], row["payload_error"] = read_range(path + GPU, row["gpu_offset"], row["gpu_size"])
+            yield tuple(row.get(c) for c in columns)
 
 
 def bundle_files(root: str) -> list[str]:
-    """Bundles under root: files with a companion and the magic, none below a folder named backup. Unreadable folders are passed over."""
+    """root itself if it is a file, else bundles under it: files with a companion and the magic, none below a folder named backup. Unreadable ones are passed over."""
+    if os.path.isfile(root):
+        return [root]
     if not os.path.isdir(root):
         raise FileNotFoundError(root)
     out = []
@@ -116,20 +155,35 @@ class _Bundle(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, columns: list[str]):
         self.root, self.skip = options.get("path"), options.get("mode", "fail").lower() == "skip"
+        self.columns = columns
+        self.wanted: dict[str, set] = {}
 
     def partitions(self):
-        return [_Bundle(p) for p in bundle_files(self.root)]
+        names = self.wanted.get("bundle")
+        return [_Bundle(p) for p in bundle_files(self.root) if names is None or p in names]
 
     def read(self, partition):
         try:
-            yield from entry_rows(partition.path, Path(partition.path).read_bytes())
+            yield from entry_rows(partition.path, self.columns, lambda row: all(row[c] in values for c, values in self.wanted.items()))
         except ContainerError:
             if not self.skip:
                 raise
 
 
+class _PushedReader(_Reader):
+    def pushFilters(self, filters):  # noqa: N802
+        """Values of bundle, type_name and pos are taken here; all else is left to Spark."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is None or f.attribute not in (("bundle",), ("type_name",), ("pos",)):
+                yield f
+            else:
+                (name,) = f.attribute
+                self.wanted[name] = self.wanted.get(name, values) & values
+
+
 class BundleSource(DataSource):
     """spark.dataSource.register(BundleSource), then format("bundle")."""
 
@@ -141,7 +195,49 @@ class BundleSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        kind = _PushedReader if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        unknown = set(schema.names) - {*COLUMNS, *PAYLOAD}
+        if unknown:
+            raise ValueError(f"a bundle has no columns {sorted(unknown)}")
+        return kind(self.options, schema.names)
+
+
+def entries_at(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, errors) of the bundles of a frame (bundle), read in tasks; errors: bundle, error, of those that can't be read or parsed."""
+    fields = [f for f in _parse_datatype_string(FULL_SCHEMA).fields if f.name in COLUMNS]
+    schema = StructType([*fields, StructField("error", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    rows = [(*r, None) for r in entry_rows(path)]
+                except (ContainerError, OSError) as error:
+                    rows = [(path, *[None] * (len(COLUMNS) - 1), str(error))]
+                for at in range(0, len(rows), 10_000):
+                    part = rows[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(arrow)], arrow.names)
+
+    read = stored(bundles.select("bundle").mapInArrow(run, schema), "read")
+    return read.filter("error IS NULL").drop("error"), read.filter("error IS NOT NULL").select("bundle", "error")
+
+
+def with_payloads(entries: DataFrame, at_once: int = 1 << 25) -> DataFrame:
+    """entries with PAYLOAD: the resident payload, or why it can't be had, such as `read past end`. Batches stay about at_once bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("bundle", "gpu_offset", "gpu_size")), strict=True))
+            first, held, size = 0, [], 0
+            for i, (path, at, n) in enumerate(places):
+                held.append(read_range(path + GPU, at, n))
+                size += n
+                if size >= at_once or i + 1 == len(places):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.string())], [*batch.schema.names, *PAYLOAD])
+                    first, held, size = i + 1, [], 0
+
+    return entries.mapInArrow(run, StructType([*entries.schema.fields, StructField("payload", BinaryType()), StructField("payload_error", StringType())]))
 
 
 def digest_ranges(ranges: DataFrame, name: str, place: tuple[str, str, str] = ("source", "source_at", "size"), chunk: int = 1 << 20) -> DataFrame:
