@@ -17,8 +17,8 @@ shingles by rarity is taken from one document in SAMPLE and holds the COMMON_SHI
 alone.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Every row has its result:
-one without doc_id takes part under a number of its own, of 2**62 or more, and its component is null where it reaches
-no doc_id. Texts that share a doc_id are linked through it. An empty table gives an empty result. Columns beside doc_id
+one without doc_id takes part under a number of its own, of 2**62 or more, with a mark that it is no doc_id, and its
+component is null where it reaches none. Texts that share a doc_id are linked through it. An empty table gives an empty result. Columns beside doc_id
 and text are not read.
 """
 
@@ -96,7 +96,7 @@ def common_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int = WORDS, least=LEAST) -> DataFrame:
-    """doc_id, n (set size), digest of the set, its parity bitmap and its prefix in order of rarity."""
+    """doc_id and real as they come, n (set size), digest of the set, its parity bitmap and its prefix in order of rarity."""
     shingles, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +118,9 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int = WO
                 prefixes.append(s[np.argsort(df, kind="stable")[:p]].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), prefix], ["doc_id", "n", "digest", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("real"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), prefix], ["doc_id", "real", "n", "digest", "bitmap", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bitmap binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, real boolean, n long, digest binary, bitmap binary, prefix array<long>")
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
@@ -447,7 +447,7 @@ def through_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, k: int = WORDS, least=LEAST, keep_numbers: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; with keep_numbers also those of rows without doc_id."""
-    docs = docs.select(numbered(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    docs = docs.select(numbered(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("doc_id").isNotNull().alias("real"), "text")
     known = stored(profiles(docs, common_shingles(docs, k), k, least), "profiles")
     full = known.filter("n > 0")
     classes = stored(full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bitmap", "prefix"), "doc_id").alias("r")).select("digest", "r.*"), "classes")
@@ -474,6 +474,12 @@ def linked(docs: DataFrame, k: int = WORDS, least=LEAST, keep_numbers: bool = Fa
         if not late.isEmpty():
             labels = components(links.union(late))
     named = classes.select("digest", F.col("doc_id").alias("rid")).join(labels, F.col("rid") == F.col("id"), "left").select("digest", F.coalesce("label", "rid").alias("component"))
-    out = known.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    known_id = lambda c: F.when(F.lit(keep_numbers) | (F.col(c) < NUMBERED), F.col(c))
-    return out.select(known_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("component").alias("component_id"))
+    held = known.select("doc_id", "real", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if keep_numbers:
+        return held.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    held = stored(held.select("doc_id", "real", "n", "component"), "members")
+    # A component under NUMBERED is a doc_id; of the others, the least doc_id among their rows is looked up.
+    high = F.col("component") >= NUMBERED
+    least = settle(held.filter(high).groupBy("component").agg(F.min(F.when(F.col("real"), F.col("doc_id"))).alias("least")))
+    held = held.join(small_or_not(least), "component", "left")
+    return held.select(F.when(F.col("real"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(high, F.col("least")).otherwise(F.col("component")).alias("component_id"))

@@ -24,6 +24,8 @@ from assetspark.llm.common import stored
 
 #: Words of the shortest run that counts as a repetition.
 RUN = 3
+#: More than the lines of a window.
+SPANS = 1 << 20
 
 
 def _words(line: Column) -> Column:
@@ -50,12 +52,16 @@ def _reach(lines: Column, run: int) -> Column:
 
 def windows_of(lines: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, tie and windows: array of (first, last, h, g, chosen, print): the lines' numbers, the hashes of all its lines, the fingerprint's line and hash."""
+    # Turned once, as a column: inside the transforms below it would be turned for each line.
+    lines = lines.withColumn("turned", F.reverse("lines"))
     every = F.col("lines")
     # Where each line is a window of its own there is nothing to grow.
     alone = F.transform(every, lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), x["h"].alias("h"), x["g"].alias("g"), x["at"].alias("chosen"), x["h"].alias("print")))
-    ahead = F.transform(_reach(every, run), lambda n, i: F.struct(i.alias("i"), n.alias("n")))
-    behind = F.transform(F.reverse(_reach(F.reverse("lines"), run)), lambda n, i: F.struct((i - n + 1).alias("i"), n.alias("n")))
-    spans = F.filter(F.array_distinct(F.concat(ahead, behind)), lambda w: w["n"].isNotNull())
+    # A span is its first line and its number of lines in one number, whose repetitions are found by hashing.
+    span = lambda i, n: i.cast("long") * SPANS + n
+    ahead = F.transform(_reach(every, run), lambda n, i: span(i, n))
+    behind = F.transform(F.reverse(_reach(F.col("turned"), run)), lambda n, i: span(i - n + 1, n))
+    spans = F.filter(F.array_distinct(F.concat(ahead, behind)), lambda w: w.isNotNull())
 
     def window(held):
         """The window of lines held. Of one line it has that line's hashes, so it meets those of `alone`."""
@@ -63,7 +69,7 @@ def windows_of(lines: DataFrame, run: int = RUN) -> DataFrame:
         whole = [F.when(F.size(held) == 1, F.get(held, 0)[c]).otherwise(F.xxhash64(held[c])).alias(c) for c in ("h", "g")]
         return F.struct(F.get(held, 0)["at"].alias("first"), F.get(held, F.size(held) - 1)["at"].alias("last"), *whole, least["chosen"].alias("chosen"), least["print"].alias("print"))
 
-    grown = F.transform(F.transform(spans, lambda w: F.slice(F.col("lines"), w["i"] + 1, w["n"])), window)
+    grown = F.transform(F.transform(spans, lambda w: F.slice(F.col("lines"), F.floor(w / SPANS).cast("int") + 1, (w % SPANS).cast("int"))), window)
     return lines.select("doc_id", "tie", F.when(F.forall(every, lambda x: x["words"] >= run), alone).otherwise(grown).alias("windows"))
 
 

@@ -75,6 +75,8 @@ KINDS = (
     Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])", "[A-Za-z0-9+/_-]{20}", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 0.4, ("token", "secret", "password", "passwd", "pwd", "key", "api_key", "apikey", "credential", "bearer")),
 )
 BASE = ("email", "ip", "card", "phone")
+#: Matches whose spans are gathered in one list, which is copied as it grows.
+PART = 256
 
 
 def _bound(value: Column, body) -> Column:
@@ -95,8 +97,17 @@ def _proposed(text: Column, kind: Kind, rank: int) -> Column:
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
     def spans(gaps):
+        """Pieces in parts of PART: a part starts where the parts before it end, so no list but a part's own grows by one at a time."""
         pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+        return _bound(pieces, lambda all_pieces: _bound(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / PART).cast("int")), lambda i: F.slice(all_pieces, i * PART + 1, F.lit(PART))), of_parts))
+
+    def of_parts(parts):
+        length = lambda piece: F.length(piece["gap"]) + F.coalesce(F.length(piece["hit"]), F.lit(0))
+        lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, piece: acc + length(piece)))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(lengths, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        found = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+        return F.flatten(F.zip_with(parts, starts, found))
 
     guard = F.contains(text, F.lit("@")) if kind.guard == "@" else text.rlike(kind.guard)
     return F.when(guard, _bound(F.split(text, kind.pattern, -1), spans)).otherwise(none)

@@ -15,8 +15,8 @@ vectors that may still enter.
 Components are rounded to longs (beyond their range, to its ends). Scores are exact: products that double precision
 may not hold are computed on whole numbers; sums beyond a long count as its ends. Vectors of different lengths meet as
 if the shorter ended in zeros; empty vectors are zero. Null vectors, null or non-finite components and null ids take no
-part. Rows that repeat an id with an equal vector count once; the vectors of one id share its k best and are never its
-candidates. An empty table gives an empty result. Other columns are not read.
+part. Every row counts: rows that repeat an id, or are equal, are candidates of one another and queries of their own. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,8 +141,8 @@ def split(sample: np.ndarray, leaves: int) -> Tree:
 
 
 def build(rows: DataFrame, page: int = PAGE) -> tuple[DataFrame, Tree | None]:
-    """The pages (leaf, ring, n, dim, ids, vectors, parents, lo, hi, norm, most) and the tree above them."""
-    rows = stored(rows.dropDuplicates(["vec_id", "v"]), "vectors")
+    """The pages (leaf, ring, n, dim, ids, rows, vectors, parents, lo, hi, norm, most) and the tree above them."""
+    rows = stored(rows, "vectors").withColumn("row", F.monotonically_increasing_id())
     total, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dim = max(1, dim)
     sample = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(ROUTES).collect()  # at most ROUTES vectors
@@ -158,7 +158,7 @@ def build(rows: DataFrame, page: int = PAGE) -> tuple[DataFrame, Tree | None]:
                     path[i].append((node, gap))
             yield batch.assign(leaf=leaf, p=p, norm=(x * x).sum(1), path=path)
 
-    routed = stored(rows.mapInPandas(route, "vec_id long, v array<long>, leaf int, p double, norm double, path array<struct<node:int,d:double>>"), "routed")
+    routed = stored(rows.mapInPandas(route, "vec_id long, v array<long>, row long, leaf int, p double, norm double, path array<struct<node:int,d:double>>"), "routed")
     if tree:
         tree.radius, tree.norm = np.zeros(len(tree.centre)), np.zeros(len(tree.centre))
         below = routed.select("norm", F.explode("path").alias("n")).groupBy("n.node").agg(F.max("n.d").alias("radius"), F.max("norm").alias("norm"))
@@ -170,15 +170,15 @@ def build(rows: DataFrame, page: int = PAGE) -> tuple[DataFrame, Tree | None]:
     counts = placed.groupBy("leaf", "b").agg(F.count("*").alias("in_b"))
     upto = F.sum("in_b").over(Window.partitionBy("leaf").orderBy("b"))
     counts = counts.select("leaf", "b", F.floor((upto - F.col("in_b")) / page).cast("int").alias("ring"), F.ceil(F.col("in_b") / page).alias("parts"))
-    placed = placed.join(counts, ["leaf", "b"]).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("vec_id"), F.col("parts"))).otherwise(0).cast("int"))
+    placed = placed.join(counts, ["leaf", "b"]).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(0).cast("int"))
 
     def close(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["p", "vec_id"], kind="stable")
+        group = group.sort_values(["p", "vec_id", "row"], kind="stable")
         x = _matrix(group["v"], dim)
-        row = (key[0], key[1], len(x), dim, group["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), group["p"].to_numpy(np.float64).tobytes(), float(group["p"].min()), float(group["p"].max()), float(group["norm"].max()), float(np.abs(x.astype(np.float64)).max()))
-        return pd.DataFrame([row], columns=["leaf", "ring", "n", "dim", "ids", "vectors", "parents", "lo", "hi", "norm", "most"])
+        row = (key[0], key[1], len(x), dim, group["vec_id"].to_numpy(np.int64).tobytes(), group["row"].to_numpy(np.int64).tobytes(), x.tobytes(), group["p"].to_numpy(np.float64).tobytes(), float(group["p"].min()), float(group["p"].max()), float(group["norm"].max()), float(np.abs(x.astype(np.float64)).max()))
+        return pd.DataFrame([row], columns=["leaf", "ring", "n", "dim", "ids", "rows", "vectors", "parents", "lo", "hi", "norm", "most"])
 
-    return stored(placed.groupBy("leaf", "ring", "part").applyInPandas(close, "leaf int, ring int, n long, dim long, ids binary, vectors binary, parents binary, lo double, hi double, norm double, most double"), "pages"), tree
+    return stored(placed.groupBy("leaf", "ring", "part").applyInPandas(close, "leaf int, ring int, n long, dim long, ids binary, rows binary, vectors binary, parents binary, lo double, hi double, norm double, most double"), "pages"), tree
 
 
 def _products(x: np.ndarray, q: np.ndarray, most_x: float) -> np.ndarray:
@@ -200,20 +200,20 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def starts(pages: DataFrame, every: int, k: int) -> DataFrame:
-    """The queries, each with its leaf and the k-th best score of its own page: query_id, v (binary), leaf, bound."""
+    """The queries, each with its leaf and the k-th best score of its own page: row, query_id, v (binary), leaf, bound."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for p in batch.itertuples():
-                ids, x = np.frombuffer(p.ids, np.int64), np.frombuffer(p.vectors, np.int64).reshape(p.n, p.dim)
+                ids, rows, x = np.frombuffer(p.ids, np.int64), np.frombuffer(p.rows, np.int64), np.frombuffer(p.vectors, np.int64).reshape(p.n, p.dim)
                 for i in np.flatnonzero(ids % every == 0):
-                    s = _products(x, x[i], p.most)[ids != ids[i]]
+                    s = np.delete(_products(x, x[i], p.most), i)
                     bound = float(sorted(s.tolist())[-k]) if len(s) >= k else -np.inf
-                    out.append((ids[i], x[i].tobytes(), p.leaf, bound - abs(bound) / EXACT * 4 if bound > -np.inf and abs(bound) >= EXACT else bound))
-            yield pd.DataFrame(out, columns=["query_id", "v", "leaf", "bound"])
+                    out.append((rows[i], ids[i], x[i].tobytes(), p.leaf, bound - abs(bound) / EXACT * 4 if bound > -np.inf and abs(bound) >= EXACT else bound))
+            yield pd.DataFrame(out, columns=["row", "query_id", "v", "leaf", "bound"])
 
-    return stored(pages.mapInPandas(run, "query_id long, v binary, leaf int, bound double"), "queries")
+    return stored(pages.mapInPandas(run, "row long, query_id long, v binary, leaf int, bound double"), "queries")
 
 
 def blocked(queries: DataFrame) -> DataFrame:
@@ -221,8 +221,8 @@ def blocked(queries: DataFrame) -> DataFrame:
     leaves = queries.groupBy("leaf").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("leaf"))  # a row for each leaf, of which there are a bounded number
     first = leaves.select("leaf", F.floor((upto - F.col("n")) / BLOCK).alias("first"), F.ceil(F.col("n") / BLOCK).alias("parts"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("query_id"), F.col("parts"))).otherwise(0)
-    return queries.join(F.broadcast(first), "leaf").select("query_id", "v", "bound", F.struct("first", part.cast("long").alias("part")).alias("block"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(0)
+    return queries.join(F.broadcast(first), "leaf").select("row", "query_id", "v", "bound", F.struct("first", part.cast("long").alias("part")).alias("block"))
 
 
 def reach(blocks: DataFrame, tree: Tree) -> DataFrame:
@@ -247,27 +247,27 @@ def _search(k: int, tree: Tree):
     def run(key, pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pages) and len(queries):
-            nodes = [(p.leaf, p.lo, p.hi, np.frombuffer(p.ids, np.int64), np.frombuffer(p.vectors, np.int64).reshape(p.n, p.dim), np.frombuffer(p.parents), p.most) for p in pages.itertuples()]
-            norms = [(x[4].astype(np.float64) ** 2).sum(1) for x in nodes]
+            nodes = [(p.leaf, np.frombuffer(p.rows, np.int64), np.frombuffer(p.ids, np.int64), np.frombuffer(p.vectors, np.int64).reshape(p.n, p.dim), np.frombuffer(p.parents), p.most) for p in pages.itertuples()]
+            norms = [(x[3].astype(np.float64) ** 2).sum(1) for x in nodes]
             whole = np.stack([np.frombuffer(v, np.int64) for v in queries["v"]])
             q = whole.astype(np.float64)
             d, qq = _distances(q, tree.centre[[x[0] for x in nodes]]), (q * q).sum(1)
-            lo, hi = np.array([x[1] for x in nodes]), np.array([x[2] for x in nodes])
+            lo, hi = pages["lo"].to_numpy(np.float64), pages["hi"].to_numpy(np.float64)
             bound = _upper(qq[:, None], pages["norm"].to_numpy(np.float64)[None], np.maximum(d - hi[None], lo[None] - d))
-            for i, (query, least) in enumerate(zip(queries["query_id"], queries["bound"], strict=True)):
+            for i, (own, query, least) in enumerate(zip(queries["row"], queries["query_id"], queries["bound"], strict=True)):
                 ids, scores = np.zeros(0, np.int64), np.zeros(0)
                 for j in np.argsort(-bound[i], kind="stable"):
                     if bound[i, j] < least:
                         break
-                    _, _, _, page_ids, x, parents, most = nodes[j]
-                    may = np.flatnonzero(_may(qq[i], norms[j], np.abs(d[i, j] - parents), least) & (page_ids != query))
+                    _, rows, page_ids, x, parents, most = nodes[j]
+                    may = np.flatnonzero(_may(qq[i], norms[j], np.abs(d[i, j] - parents), least) & (rows != own))
                     ids, scores = np.concatenate((ids, page_ids[may])), np.concatenate((scores, _products(x[may], whole[i], most)))
                     top = _best(ids, scores, k)
                     ids, scores = ids[top], scores[top]
                     if len(scores) == k:
                         least = max(least, float(scores[-1]) * (1 - np.sign(float(scores[-1])) * SLACK) if scores.dtype == object else scores[-1])
-                out += [(query, int(a), min(max(int(b), LEAST_LONG), MOST_LONG), int(b) // UNIT, str(int(b) % UNIT)) for a, b in zip(ids, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "high", "low"])
+                out += [(own, query, int(a), min(max(int(b), LEAST_LONG), MOST_LONG), int(b) // UNIT, str(int(b) % UNIT)) for a, b in zip(ids, scores, strict=True)]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "high", "low"])
 
     return run
 
@@ -282,7 +282,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     by = ["block", "leaf", "g"]
     dealt = pages.withColumn("g", F.floor(F.col("ring") / GROUP)).join(wanted, "leaf")
     asking = blocks.join(wanted, "block").join(pages.select("leaf", F.floor(F.col("ring") / GROUP).alias("g")).distinct(), "leaf")
-    found = dealt.groupBy(by).cogroup(asking.groupBy(by)).applyInPandas(_search(k, tree), "query_id long, vec_id long, score long, high long, low string")
+    found = dealt.groupBy(by).cogroup(asking.groupBy(by)).applyInPandas(_search(k, tree), "row long, query_id long, vec_id long, score long, high long, low string")
     # Sums beyond a long rank by their whole value, in two parts.
-    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc(F.col("low").cast("decimal(38,0)")), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("high"), F.desc(F.col("low").cast("decimal(38,0)")), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -234,13 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SA
     """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1; None if they aren't of both kinds.
 
     At most `sample` rows of distinct (doc_id, text, label) and `most` bytes of text, in the order of a hash of doc_id,
-    so that neither repeated doc_ids nor very long texts grow what the driver holds.
+    so that neither repeated doc_ids nor very long texts grow what the driver holds. A text of more than a hundredth of
+    these bytes is no sample: it would stand in the place of many.
     """
     order = [F.xxhash64("doc_id"), "doc_id", "toxic"]
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (part_of(F.col("doc_id")) != 1)).select("doc_id", "toxic").distinct()
     first = usable.orderBy(*order).limit(sample)  # of bounded size, here and below
     tied = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    held = tied.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(first), "doc_id").distinct().orderBy(*order, "tie").limit(sample)
+    held = tied.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(first), "doc_id").filter(F.col("size") <= most // 100).distinct().orderBy(*order, "tie").limit(sample)
     upto = F.sum("size").over(Window.orderBy(*order, "tie"))
     chosen = settle(held.withColumn("upto", upto).filter(F.col("upto") <= most).select("doc_id", F.col("tie").alias("of"), "toxic"))
     texts = tied.join(F.broadcast(chosen.select("doc_id", "of").distinct()), ["doc_id"]).filter(F.col("tie").eqNullSafe(F.col("of"))).groupBy("doc_id", "of").agg(F.first("text").alias("text"))

@@ -5,7 +5,7 @@ import math
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -167,6 +167,15 @@ def test_pii_long_runs_stay_linear(spark):
     assert [r.spans for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == [""] * 5
 
 
+def test_pii_many_spans_stay_linear(spark):
+    """100,000 matches in one text: the places of a part start where the parts before it end."""
+    n = 100_000
+    began = time.time()
+    (got,) = pii.pii_digest(spark.createDataFrame([(1, "é 1.2.3.4" * n)], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert got.n_ip == n and got.spans == ",".join(f"ip:{9 * i + 2}:{9 * i + 9}" for i in range(n))
+
+
 def added_truth(text):
     """The added kinds, by plain matching, with the context rule."""
     context = {"iban": pii.KINDS[4].context, "local_phone": pii.KINDS[5].context, "secret": pii.KINDS[6].context}
@@ -476,6 +485,9 @@ def test_shingle_join(spark, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs).collect()}
     assert got == join_truth(texts)
     assert jaccard.linked(empty).count() == 0
+    large = [(2**62 + 5, "a b c d e"), (2**63 - 1, "a b c d e"), (None, "a b c d e"), (None, "p q r s"), (2**62, "no other text has these words")]
+    found = jaccard.linked(docs.sparkSession.createDataFrame(large, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter([(2**62 + 5,) * 2, (2**63 - 1, 2**62 + 5), (None, 2**62 + 5), (None, None), (2**62,) * 2])
 
 
 def test_shingle_join_answers_every_row(spark):
@@ -597,6 +609,14 @@ def test_line_dedup_equals_plain_search(spark, drawn):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs, run=6).collect()} == dedup_truth(texts, 6)
 
 
+def test_many_short_lines_stay_linear(spark):
+    """200,000 lines of a word: a window is three of them."""
+    n = 200_000
+    began = time.time()
+    (got,) = linededup.dedup_digest(spark.createDataFrame([(1, "\n".join(f"w{i % 977}" for i in range(n)))], "doc_id long, text string")).collect()
+    assert time.time() - began < 60 and (got.n_lines, got.n_deleted) == (n, n - 977)
+
+
 def test_line_dedup_edges(docs, empty, spark):
     got = rows(linededup.dedup_lines(docs))
     assert got[2].text is None and got[3].text == "" and got[5].text == LONG and got[6].text == "" and got[6].n_deleted == 1 and got[1].extra == "x"
@@ -710,18 +730,18 @@ def test_near_pairs_of_a_hot_signature_in_blocks(spark, monkeypatch):
 
 
 def top_truth(vectors, every, k):
-    out = {}
-    for q, v in vectors:
+    out = defaultdict(list)
+    for a, (q, v) in enumerate(vectors):
         if q % every == 0:
-            scored = sorted((-int(v @ w), i) for i, w in vectors if i != q)[:k]
-            out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
-    return out
+            scored = sorted((-int(v @ w), i) for b, (i, w) in enumerate(vectors) if a != b)[:k]
+            out[q] += [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return {q: sorted(x) for q, x in out.items()}
 
 
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
-    data += [(1000 + i, data[0][1]) for i in range(20)]  # ties
+    data += [(1000 + i, data[0][1]) for i in range(20)] + [data[50], data[50], (50, data[51][1])]  # ties, repeated rows and ids
     bad = [(2000, None), (2050, [float("nan")] * 8), (2100, [float("inf")] + [0.0] * 7), (2150, [None] * 8), (None, [0.0] * 8)]
     short = [(2200, [1.0]), (2250, []), (2251, [2.0, -1.0])]  # count as if they ended in zeros
     df = spark.createDataFrame([(i, v, "x") for i, v in data + short + bad], "vec_id long, embedding array<float>, label string")
@@ -735,7 +755,7 @@ def test_top_k(spark, monkeypatch):
         assert {q: sorted(x) for q, x in got.items()} == top_truth(exact, 50, 5)
     assert topk.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(few).orderBy("rank").collect()] == [(0, n, 1, 256 * 128 + 512 * 128) for n in (1, 2)]
 
 
 def test_top_k_of_large_components(spark):

@@ -66,8 +66,9 @@ def test_stages_keep_odd_rows_and_columns(spark, sf_dir, k):
     """Nulls, equal rows, clashing columns and empty tables, stage by stage."""
     docs, stage = odd_rows(spark), corpus_pipeline.STAGES[k][1]
     out = stage(spark, docs, sf_dir)
-    assert out.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
     if k == 4:
+        assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in docs.collect())  # all are one piece
         return
     assert out.columns == docs.columns
     kept = out.collect()
@@ -78,7 +79,7 @@ def test_stages_keep_odd_rows_and_columns(spark, sf_dir, k):
     if k == 1:
         assert [t for i, t in texts if i in (4, 5)] == [LINE * 6] and [t for i, t in texts if i == 6] == ["first"] and len(kept) == 10
     if k == 2:
-        assert [i for i, _ in texts] == [0, 0, 1, 2, 3, 4, 6, 7] or [i for i, _ in texts] == [0, 0, 1, 2, 3, 4, 7]
+        assert [i for i, _ in texts] == [0, 0, 1, 2, 3, 4, 7, 7]  # equal rows once, both texts of one doc_id
     if k == 3:
         most = Counter((r.doc_id, r.text) for r in docs.collect())
         assert all(n <= 3 * most[key] for key, n in Counter((r.doc_id, r.text) for r in kept).items())
@@ -120,4 +121,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
