@@ -23,6 +23,7 @@ from assetspark.functions import headers
 from assetspark.functions.dialect import SPARK
 from assetspark.functions.records import Records
 from assetspark.operators import codec, layout
+from assetspark.progress import Progress, Silent
 from assetspark.sources.container import ENTRY_BYTES, ENTRY_DTYPE, GPU, HEADER_BYTES, STREAM, TYPE_BYTES, digest_ranges, file_lengths
 from assetspark.sources.shared import stored
 from assetspark.sources.writer import PieceSink
@@ -135,7 +136,7 @@ def file_pieces(rows: DataFrame, codes: DataFrame, root: str, ending: str, offse
     return ranges.unionByName(made.select("target", "rank", "sequence", "at", "size", part.alias("payload"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("source_at")))
 
 
-def apply_plan(entries: DataFrame, plan: DataFrame, root: str, out_root: str, share: bool = True, backend: str = "auto", quality: str = "balanced") -> DataFrame:
+def apply_plan(entries: DataFrame, plan: DataFrame, root: str, out_root: str, share: bool = True, backend: str = "auto", quality: str = "balanced", progress: Progress | Silent = Silent()) -> DataFrame:
     """Writes the bundles of entries (format("bundle") of root, with payload hash) under out_root as the plan says; out_root may be root.
 
     Returns bundle, bytes_before, bytes_after (of the resident payloads' file), n_encoded (planned), n_shared and bytes
@@ -146,7 +147,8 @@ def apply_plan(entries: DataFrame, plan: DataFrame, root: str, out_root: str, sh
     spark = entries.sparkSession
     spark.dataSource.register(PieceSink)
     rows = stored(coded(payload_work(entries, plan)), "work")
-    codes = encoded(rows, backend, quality)
+    with progress.step("encode"):
+        codes = encoded(rows, backend, quality)
     if bad := codes.filter("reason IS NOT NULL").select("code", "reason").first():
         raise ValueError(f"{bad['code']}: {bad['reason']}")
     sizes = codes.select("code", F.col("size").alias("made"), "digest", F.col("whole").alias("made_whole"), "whole_digest")
@@ -186,7 +188,8 @@ def apply_plan(entries: DataFrame, plan: DataFrame, root: str, out_root: str, sh
     for more in pieces[1:]:
         all_pieces = all_pieces.unionByName(more)
     before = stored(file_lengths(rows.select("bundle").distinct()).withColumnRenamed("file_length", "bytes_before"), "lengths")
-    all_pieces.write.format("pieces").mode("append").save(out_root)
+    with progress.step("write"):
+        all_pieces.write.format("pieces").mode("append").save(out_root)
     after = placed.filter("is_first").groupBy("bundle").agg(F.max(F.col("new_offset") + F.col("size")).alias("bytes_after"))
     shared = placed.filter("NOT is_first").groupBy("bundle").agg(F.count("*").alias("n_shared"), F.sum("size").alias("bytes_shared"))
     done = rows.groupBy("bundle").agg(F.count_if("planned").alias("n_planned")).join(before, "bundle").join(after, "bundle", "left").join(shared, "bundle", "left")

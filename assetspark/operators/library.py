@@ -12,6 +12,7 @@ from assetspark.operators import codec, layout, verify
 from assetspark.operators import plan as plans
 from assetspark.operators.apply import apply_plan
 from assetspark.operators.plan import Options
+from assetspark.progress import Progress, Silent
 from assetspark.sources import listing
 from assetspark.sources.container import GPU, STREAM, ContainerError, entries_at, file_lengths, level_tables, with_payload_hash
 from assetspark.sources.shared import stored
@@ -65,10 +66,10 @@ def predicted(entries: DataFrame, plan: DataFrame, share: bool = True) -> DataFr
     return out.withColumn("worth_writing", (F.col("file_after") < F.col("file_before")) | (F.col("resident_after") < F.col("resident_before")))
 
 
-def optimise(entries: DataFrame, plan: DataFrame, root: str, out_root: str, share: bool = True, backend: str = "auto", quality: str = "balanced") -> DataFrame:
+def optimise(entries: DataFrame, plan: DataFrame, root: str, out_root: str, share: bool = True, backend: str = "auto", quality: str = "balanced", progress: Progress | Silent = Silent()) -> DataFrame:
     """Writes the bundles that a plan makes smaller, on disk or resident; the others are left out. See apply.apply_plan."""
     worth = stored(predicted(entries, plan, share).filter("worth_writing").select("bundle"), "worth")
-    return apply_plan(entries.join(worth, "bundle", "left_semi"), plan.join(worth, "bundle", "left_semi"), root, out_root, share, backend, quality)
+    return apply_plan(entries.join(worth, "bundle", "left_semi"), plan.join(worth, "bundle", "left_semi"), root, out_root, share, backend, quality, progress)
 
 
 def verify_library(spark: SparkSession, root: str, original: str | None = None) -> DataFrame:
