@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetspark.functions import headers
 from assetspark.operators import codec, layout, verify
 from assetspark.operators import plan as plans
 from assetspark.operators.apply import apply_plan
@@ -16,6 +17,7 @@ from assetspark.progress import Progress, Silent
 from assetspark.sources import listing
 from assetspark.sources.container import GPU, STREAM, ContainerError, entries_at, file_lengths, level_tables, with_payload_hash
 from assetspark.sources.shared import stored
+from assetspark.sources.writer import PieceSink
 
 #: What becomes of a plan's texture, beside where it is and what it was.
 CHOICE = ["to_format", "to_w", "to_h", "to_mips", "drop_levels", "resident", "generates"]
@@ -111,3 +113,23 @@ def override(plan: DataFrame, edits: DataFrame) -> DataFrame:
         new: Column = F.col(f"__{c}") if c == "include" else F.when(free, F.col(f"__{c}"))
         joined = joined.withColumn(c, F.coalesce(new, c))
     return plans.repredicted(joined.drop(*(f"__{c}" for c in names)))
+
+
+def export_images(entries: DataFrame, folder: str) -> DataFrame:
+    """Writes each texture as an image file of its own, <bundle's name>/<texture's name>.dds in the folder; bundle, pos, file of each.
+
+    A file is the header of the texture, read by the task that writes it, and the payload, copied from its place. Of a
+    streamed texture the stream file's payload is taken, which has all levels.
+    """
+    spark = entries.sparkSession
+    spark.dataSource.register(PieceSink)
+    streamed = F.col("stream_size") > 0
+    named = textures_of(entries).select("bundle", "pos", F.concat_ws("/", F.element_at(F.split("bundle", "/"), -1), F.concat("name", F.lit(".dds"))).alias("file"), "cpu_offset", "prefix", "has_dx10", streamed.alias("streamed"), "gpu_offset", "gpu_size", "stream_offset", "stream_size")
+    header = F.when(F.col("has_dx10"), headers.CORE + headers.EXTENSION).otherwise(headers.CORE).cast("long")
+    held = named.withColumn("header", header)
+    piece = lambda at, size, source, source_at: held.select(F.col("file").alias("target"), F.lit(0).alias("rank"), F.lit(False).alias("sequence"), at.alias("at"), size.alias("size"), F.lit(None).cast("binary").alias("payload"), source.alias("source"), source_at.alias("source_at"))
+    first = piece(F.lit(0).cast("long"), F.col("header"), F.col("bundle"), F.col("cpu_offset") + F.col("prefix"))
+    ending = F.when(F.col("streamed"), STREAM).otherwise(GPU)
+    rest = piece(F.col("header"), F.when(F.col("streamed"), F.col("stream_size")).otherwise(F.col("gpu_size")), F.concat("bundle", ending), F.when(F.col("streamed"), F.col("stream_offset")).otherwise(F.col("gpu_offset")))
+    first.unionByName(rest).write.format("pieces").mode("append").save(folder)
+    return named.select("bundle", "pos", "file")

@@ -21,11 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is removed when the driver ends."""
+    where = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of the shared folder and read again. The table is removed when the driver ends."""
     spark = df.sparkSession
-    where = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    where = place(spark, name)
     df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetspark.functions import blocks
+from assetspark.functions import blocks, headers
 from assetspark.operators import library, plan
 from assetspark.operators.apply import apply_plan
 from assetspark.operators.plan import Options
@@ -186,3 +186,12 @@ def test_a_payload_past_its_file_fails_and_leaves_nothing(spark, root, tmp_path)
     with pytest.raises(Exception, match="past"):
         apply_plan(entries, made, root, str(tmp_path / "out")).collect()
     assert not [f for _, _, files in os.walk(tmp_path / "out") for f in files]
+
+
+def test_textures_as_image_files(spark, root, tmp_path):
+    entries = library.entries_of(spark, root)
+    files = {(os.path.relpath(r.bundle, root), r.pos): r.file for r in library.export_images(entries, str(tmp_path / "images")).collect()}
+    held = {(b, r.pos): r for (b, _), r in read(spark, root).items() if r.type_name == "texture"}
+    assert files.keys() == held.keys() and no_leftovers(tmp_path / "images")
+    for k, r in held.items():
+        assert (tmp_path / "images" / files[k]).read_bytes() == headers.standalone(payload(r, "", "cpu_offset", "cpu_size"), payload(r))
