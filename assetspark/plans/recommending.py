@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetspark.bindings import TEXTURES, layered, textures
+from assetspark.bindings import TEXTURES, textures
 from assetspark.functions.dialect import DUCK, SPARK
 from assetspark.operators import layout, plan, rules
 from assetspark.operators.plan import Options
+from assetspark.plans import checking
 from assetspark.plans.registry import query
 from assetspark.plans.relational import ANALYSIS, analysed
 
@@ -32,12 +33,7 @@ def _options_sql(names) -> str:
 
 
 def _candidates_sql(names) -> str:
-    classified = layered("classified", "textures", rules.classify(DUCK))
-    joined = "joined AS (SELECT o.*, c.*, a.solid, a.flat_alpha, a.alpha_detail, a.binary_alpha, a.r, a.g, a.b, a.a FROM classified c LEFT JOIN analysis a ON a.tex_id = c.vec_id CROSS JOIN options o)"
-    picked = layered("recommended", "joined", rules.layers(DUCK))
-    included = "included AS (SELECT *, true AS include FROM recommended)"
-    sized = layered("sized", "included", rules.predicted(DUCK))
-    return f"{TEXTURES}, {ANALYSIS}, {_options_sql(names)}, {classified}, {joined}, {picked}, {included}, {sized}"
+    return f"{TEXTURES}, {ANALYSIS}, {_options_sql(names)}, {checking.SIZED}"
 
 
 def grid(spark, sf_dir, names):
@@ -58,7 +54,7 @@ _register("recommend_generate", ("generate", "generate-capped"))
 ALL = tuple(GRID)
 
 
-@query("classify_texture", f"WITH {TEXTURES}, {layered('classified', 'textures', rules.classify(DUCK))} SELECT bundle, pos, expected_size, unsupported FROM classified")
+@query("classify_texture", f"WITH {TEXTURES}, {checking.CLASSIFIED} SELECT bundle, pos, expected_size, unsupported FROM classified")
 def classify_texture(spark, sf_dir):
     return rules.apply(textures(spark, sf_dir), rules.classify(SPARK)).select("bundle", "pos", "expected_size", "unsupported")
 
@@ -182,14 +178,18 @@ def _slices(d) -> list[str]:
     return ["option", "bundle", "pos", f"{upto('drop_levels')} AS dropped_bytes", f"{upto('(drop_levels + coalesce(resident, 0))')} AS resident_from", f"{d.total(d.cut('chain', '(drop_levels + coalesce(resident, 0))', 'to_mips'))} AS resident_bytes"]
 
 
-@query("apply_slices", f"WITH {_candidates_sql(ALL)} SELECT {', '.join(_slices(DUCK))} FROM sized WHERE unsupported IS NULL AND mips > 1")
+_RESIDENT = "drop_levels + coalesce(resident, 0)"
+SLICES = f"option, bundle, pos, {checking.total('chain[:drop_levels]')} AS dropped_bytes, {checking.total(f'chain[:{_RESIDENT}]')} AS resident_from, {checking.total(f'chain[{_RESIDENT} + 1:{_RESIDENT} + to_mips]')} AS resident_bytes"
+
+
+@query("apply_slices", f"WITH {_candidates_sql(ALL)} SELECT {SLICES} FROM sized WHERE unsupported IS NULL AND mips > 1")
 def apply_slices(spark, sf_dir):
     """Byte ranges of a sliced chain: what is dropped, where the resident part begins and how long it is."""
     return planned(spark, sf_dir).filter("mips > 1").selectExpr(*_slices(SPARK))
 
 
-LEVELS = f"""WITH {TEXTURES}, c AS (SELECT *, {DUCK.chain('format', 'w', 'h', 'mips')} AS chain FROM textures WHERE has_dx10 AND mips > 1),
-l AS (SELECT bundle, pos, w, h, mips, {DUCK.total('chain')} AS total, unnest(chain) AS level_size, unnest(range(0, len(chain))) AS level FROM c),
+LEVELS = f"""WITH {TEXTURES}, {checking.CLASSIFIED}, c AS (SELECT * FROM classified WHERE has_dx10 AND mips > 1),
+l AS (SELECT bundle, pos, w, h, mips, {checking.total('chain')} AS total, unnest(chain) AS level_size, unnest(range(0, len(chain))) AS level FROM c),
 s AS (SELECT *, CAST(sum(level_size) OVER (PARTITION BY bundle, pos ORDER BY level) AS BIGINT) AS upto FROM l)
 SELECT bundle, pos, level, greatest(1, w >> CAST(level AS INT)) AS level_w, greatest(1, h >> CAST(level AS INT)) AS level_h, level_size, CASE WHEN level = mips - 1 THEN 0 ELSE upto END AS next_offset, CASE WHEN level = mips - 1 THEN 0 ELSE total - upto END AS rest FROM s"""
 
