@@ -12,6 +12,7 @@ from assetspark.bindings import TEXTURES, textures
 from assetspark.functions import headers
 from assetspark.functions.dialect import DUCK
 from assetspark.functions.records import Records
+from assetspark.plans import checking
 from assetspark.plans.registry import query
 from assetspark.sources.synthetic import texture_header
 
@@ -71,7 +72,7 @@ _LEVEL = " || ".join((
 
 @query(
     "streaming_prefix",
-    f"WITH {TEXTURES}, c AS (SELECT *, {DUCK.chain('format', 'w', 'h', 'mips')} AS chain FROM textures WHERE {_SIZED} AND mips > 1) "
+    f"WITH {TEXTURES}, c AS (SELECT *, {checking.own_chain()} AS chain FROM textures WHERE {_SIZED} AND mips > 1) "
     f"SELECT bundle, pos, rpad({_le('pos % 3', 4)} || {_le('CASE WHEN pos % 3 = 0 THEN 2 ELSE 1 END', 4)} || {_le('pos % mips', 4)} || '00000000' || {_le(_SUM('chain'), 4)} || array_to_string(list_transform(range(0, mips), lambda i: {_LEVEL}), ''), {2 * PREFIX}, '0') AS prefix FROM c",
 )
 def streaming_prefix(spark, sf_dir):

@@ -17,6 +17,19 @@ def chain(w: str, h: str, mips: str, block: str, pixel: str) -> str:
     return f"list_transform(range(0, greatest({mips}, 1)), lambda i: CAST(CASE WHEN {block} > 0 THEN (({side(w)} + 3) // 4) * (({side(h)} + 3) // 4) * {block} ELSE {side(w)} * {side(h)} * {pixel} END AS BIGINT))"
 
 
+BLOCK, PIXEL = formats.block_bytes("format"), formats.pixel_bytes("format")
+
+
+def surface(w: str, h: str, block: str = BLOCK, pixel: str = PIXEL) -> str:
+    """Bytes of one level, null for formats without a size."""
+    return f"CAST(CASE WHEN {block} > 0 THEN (({w} + 3) // 4) * (({h} + 3) // 4) * {block} WHEN {pixel} > 0 THEN {w} * {h} * {pixel} END AS BIGINT)"
+
+
+def own_chain() -> str:
+    """The chain of a texture as it is, null for formats without a size."""
+    return f"CASE WHEN {BLOCK} + {PIXEL} > 0 THEN {chain('w', 'h', 'mips', BLOCK, PIXEL)} END"
+
+
 def total(values: str) -> str:
     return f"CAST(coalesce(list_sum({values}), 0) AS BIGINT)"
 

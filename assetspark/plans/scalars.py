@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from assetspark import formats
 from assetspark.bindings import ASSETS, TEXTURES, asset_rows, read, textures
 from assetspark.functions.dialect import DUCK, SPARK
+from assetspark.plans import checking
 from assetspark.plans.registry import projected, query
 
 KEY = ["bundle", "pos"]
 
 
-def _on_textures(name: str, columns) -> None:
-    """columns: dialect -> expressions with names; run on the textures whose format can be sized where it matters."""
-    projected(name, textures, TEXTURES, "textures", [*KEY, *columns(SPARK)], [*KEY, *columns(DUCK)])
+def _on_textures(name: str, columns, sql: list[str] | None = None) -> None:
+    """columns: dialect -> expressions with names, run on the textures; sql: the same written by hand (see checking), for rules of the engine."""
+    projected(name, textures, TEXTURES, "textures", [*KEY, *columns(SPARK)], [*KEY, *(sql or columns(DUCK))])
 
 
 def _big(expression: str, name: str) -> str:
@@ -43,15 +44,15 @@ def _joined_where(d, cap: str) -> str:
     return f"concat_ws(',', {', '.join(shown)}) AS floors_{cap}"
 
 
-_on_textures("surface_size", lambda d: ["format", _big(d.surface("format", "w", "h"), "surface_size")])
-_on_textures("mip_chain", lambda d: ["mips", f"CASE WHEN {formats.is_sizable('format')} THEN {_joined(d, d.chain('format', 'w', 'h', 'mips'))} END AS chain"])
-_on_textures("levels_to_drop", lambda d: [_big(d.levels_to_drop("w", "h", "mips", c), f"drop_{c}") for c in ("0", "256", "1024", "2048")])
-_on_textures("apply_downscale", lambda d: [_big(d.shr(s, d.halvings("w", "h", c)), f"{s}_{c}") for s in ("w", "h") for c in ("0", "64", "512", "2048")])
-_on_textures("full_mip_count", lambda d: [_big(d.bits("greatest(w, h)"), "full_mips")])
+_on_textures("surface_size", lambda d: ["format", _big(d.surface("format", "w", "h"), "surface_size")], ["format", f"{checking.surface('w', 'h')} AS surface_size"])
+_on_textures("mip_chain", lambda d: ["mips", f"CASE WHEN {formats.is_sizable('format')} THEN {_joined(d, d.chain('format', 'w', 'h', 'mips'))} END AS chain"], ["mips", f"{_joined(DUCK, checking.own_chain())} AS chain"])
+_on_textures("levels_to_drop", lambda d: [_big(d.levels_to_drop("w", "h", "mips", c), f"drop_{c}") for c in ("0", "256", "1024", "2048")], [_big(checking.drop("w", "h", "mips", c), f"drop_{c}") for c in ("0", "256", "1024", "2048")])
+_on_textures("apply_downscale", lambda d: [_big(d.shr(s, d.halvings("w", "h", c)), f"{s}_{c}") for s in ("w", "h") for c in ("0", "64", "512", "2048")], [_big(f"{s} >> CAST({checking.halvings('w', 'h', c)} AS INTEGER)", f"{s}_{c}") for s in ("w", "h") for c in ("0", "64", "512", "2048")])
+_on_textures("full_mip_count", lambda d: [_big(d.bits("greatest(w, h)"), "full_mips")], [_big(checking.levels("greatest(w, h)"), "full_mips")])
 _on_textures("format_name", lambda d: [f"{d.text(formats.format_name('format'))} AS format_name"])
-_on_textures("match_colour_space", lambda d: [_big(formats.match_colour_space(str(t), "format"), f"to_{t}") for t in (71, 77, 98)])
-_on_textures("can_describe", lambda d: [f"{d.can_describe('192', d.bits('greatest(w, h)'))} AS fits", f"{d.can_describe('100', d.bits('greatest(w, h)'))} AS fits_100"])
-_on_textures("chain_suffix_sum", lambda d: ["mips", *(f"CASE WHEN {formats.is_sizable('format')} THEN {d.total(d.cut(d.chain('format', 'w', 'h', 'mips'), str(k)))} END AS from_{k}" for k in (0, 1, 3)), f"CASE WHEN {formats.is_sizable('format')} THEN {d.total(d.cut(d.chain('format', 'w', 'h', 'mips'), '1', '2'))} END AS two_from_1"])
+_on_textures("match_colour_space", lambda d: [_big(formats.match_colour_space(str(t), "format"), f"to_{t}") for t in (71, 77, 98)], [_big(f"{t} + CASE WHEN format IN (29, 72, 75, 78, 91, 99) THEN 1 ELSE 0 END", f"to_{t}") for t in (71, 77, 98)])
+_on_textures("can_describe", lambda d: [f"{d.can_describe('192', d.bits('greatest(w, h)'))} AS fits", f"{d.can_describe('100', d.bits('greatest(w, h)'))} AS fits_100"], [f"12 * ({checking.levels('greatest(w, h)')}) <= 172 AS fits", f"12 * ({checking.levels('greatest(w, h)')}) <= 80 AS fits_100"])
+_on_textures("chain_suffix_sum", lambda d: ["mips", *(f"CASE WHEN {formats.is_sizable('format')} THEN {d.total(d.cut(d.chain('format', 'w', 'h', 'mips'), str(k)))} END AS from_{k}" for k in (0, 1, 3)), f"CASE WHEN {formats.is_sizable('format')} THEN {d.total(d.cut(d.chain('format', 'w', 'h', 'mips'), '1', '2'))} END AS two_from_1"], ["mips", *(f"CASE WHEN len({checking.own_chain()}) > 0 THEN {checking.total(f'({checking.own_chain()})[{k + 1}:]')} END AS from_{k}" for k in (0, 1, 3)), f"CASE WHEN len({checking.own_chain()}) > 0 THEN {checking.total(f'({checking.own_chain()})[2:3]')} END AS two_from_1"])
 _on_textures("stream_flag", lambda d: ["CASE WHEN pos % 9 = 0 THEN 2 ELSE 1 END AS flag"])
 _on_textures("dds_patch_fields", lambda d: _patched(d))
 _on_textures("dds_stream_fields", lambda d: [f"CASE WHEN {formats.is_block('format')} THEN 0 ELSE w * {formats.pixel_bytes('format')} END AS pitch", _big("4111", "flags")])

@@ -8,6 +8,7 @@ from assetspark import formats
 from assetspark.bindings import ASSETS, FILES, TEXTURES, assets, files, textures
 from assetspark.functions.dialect import DUCK, SPARK
 from assetspark.operators import layout, verify
+from assetspark.plans import checking
 from assetspark.plans.registry import query
 
 #: Planted: some entries moved off their alignment, some into the one before, files cut short or left long.
@@ -70,7 +71,7 @@ def _header_columns(d) -> list[str]:
     return ["*", f"coalesce({d.surface('format', 'w', 'h')}, 0) + CASE WHEN pos % 29 = 3 THEN 16 ELSE 0 END AS linear_size", f"CASE WHEN {formats.is_block('format')} AND pos % 31 <> 4 THEN CAST(528391 AS BIGINT) ELSE CAST(4111 AS BIGINT) END AS flags"]
 
 
-HEADERS = f"{TEXTURES}, headers AS (SELECT {', '.join(_header_columns(DUCK))} FROM textures), sized AS (SELECT *, {DUCK.total(DUCK.chain('format', 'w', 'h', 'mips'))} AS expected, {DUCK.surface('format', 'w', 'h')} AS level0, {formats.is_block('format')} AND mips <= 1 AS single FROM headers WHERE {formats.is_sizable('format')} AND has_dx10 AND stream_size = 0)"
+HEADERS = f"{TEXTURES}, headers AS (SELECT {', '.join(_header_columns(DUCK))} FROM textures), sized AS (SELECT *, {checking.total(checking.own_chain())} AS expected, {checking.surface('w', 'h')} AS level0, {formats.is_block('format')} AND mips <= 1 AS single FROM headers WHERE {formats.is_sizable('format')} AND has_dx10 AND stream_size = 0)"
 
 
 def headers(spark, sf_dir):
@@ -98,7 +99,7 @@ STREAM_FAULTS = [
     "CASE WHEN pos % 7 = 2 THEN mips ELSE first_resident END AS first_resident", "stream_size + CASE WHEN pos % 7 = 3 THEN 1 ELSE 0 END AS stream_size", "gpu_size + CASE WHEN pos % 7 = 4 THEN 4 ELSE 0 END AS gpu_size",
     "CASE WHEN pos % 7 = 5 THEN 32 ELSE 64 * (pos % 1000) END AS stream_offset", "64 * (pos % 1000) + stream_size - CASE WHEN pos % 7 = 6 THEN 10 ELSE 0 END AS stream_length",
 ]
-STREAMED = f"{TEXTURES}, s AS (SELECT bundle, pos, w, h, format, mips, has_dx10, {', '.join(STREAM_FAULTS)} FROM textures WHERE stream_size > 0), c AS (SELECT *, {DUCK.chain('format', 'w', 'h', 'mips')} AS chain, first_resident < greatest(mips, 1) AS inside FROM s WHERE {formats.is_sizable('format')} AND has_dx10), z AS (SELECT *, {DUCK.total('chain')} AS total, CASE WHEN inside THEN {DUCK.total(DUCK.cut('chain', 'first_resident'))} END AS tail FROM c)"
+STREAMED = f"{TEXTURES}, s AS (SELECT bundle, pos, w, h, format, mips, has_dx10, {', '.join(STREAM_FAULTS)} FROM textures WHERE stream_size > 0), c AS (SELECT *, {checking.own_chain()} AS chain, first_resident < greatest(mips, 1) AS inside FROM s WHERE {formats.is_sizable('format')} AND has_dx10), z AS (SELECT *, {checking.total('chain')} AS total, CASE WHEN inside THEN {checking.total('chain[first_resident + 1:]')} END AS tail FROM c)"
 
 
 @query(
@@ -120,7 +121,7 @@ TABLE_FAULTS = {"level_size": "level_size + CASE WHEN pos % 11 = 3 AND level >=
 LOST_LEVEL = "pos % 17 = 5 AND level = 3"
 STREAM_TABLES = f"""{TEXTURES}, st AS (SELECT bundle, pos, w, h, format, mips FROM textures WHERE stream_size > 0 AND has_dx10 AND {formats.is_sizable('format')}),
 lv AS (SELECT bundle, pos, mips, w, h, format, unnest(range(0, mips)) AS level FROM st),
-sz AS (SELECT *, CAST({DUCK.surface('format', 'greatest(1, w >> CAST(level AS INT))', 'greatest(1, h >> CAST(level AS INT))')} AS BIGINT) AS level_size FROM lv),
+sz AS (SELECT *, {checking.surface('greatest(1, w >> CAST(level AS INT))', 'greatest(1, h >> CAST(level AS INT))')} AS level_size FROM lv),
 ok AS (SELECT *, CASE WHEN level = mips - 1 THEN 0 ELSE CAST(sum(level_size) OVER (PARTITION BY bundle, pos ORDER BY level) AS BIGINT) END AS next_offset FROM sz),
 bad AS (SELECT bundle, pos, level FROM ok WHERE {LOST_LEVEL} OR level_size <> {TABLE_FAULTS['level_size']} OR next_offset <> {TABLE_FAULTS['next_offset']})"""
 
