@@ -1,10 +1,16 @@
 """Main text of web pages by composite text density.
 
-A page becomes a small tree. Each node's density is its characters per tag, adjusted for the share of them that stands
-in links; a node's sum is that of its child blocks' densities, or its own where it has none. The least density on the
-path from the block of the greatest sum up to the body is the threshold; of each node that reaches it from the body
-down, the subtree of the greatest sum is content. Elements, roles and names of menus, adverts, notices, forms and
-comments are noise and count nowhere. No tag names the article: it is found by density alone.
+A page becomes a small tree, of which only what is never shown (scripts, styles, the head) is left out. Each node's
+density is its characters per tag, adjusted for the share of them that stands in links; a node's sum is that of its
+child blocks' densities, or its own where it has none. The path from the block of the greatest sum up to the body gives
+two thresholds, its least density and its least sum. From the body down, each node that reaches the first gives the
+subtree of the greatest sum in it as content if that reaches the second. So the article is told from menus, adverts and
+footers by density, whatever their tags and names.
+
+Only then, inside what was found, elements, roles and names of menus, adverts, notices, forms and comments are taken
+out. If the block of the greatest sum is of these itself, as where comments are longer than the article, all of them
+are left out of the tree, which is measured once more. Of equal sums the block of more characters is taken, of these
+the first of its parents' children.
 
 Null and empty pages, and pages without text, give an empty text. Rows are handled one by one, whole, so repeated rows
 give repeated results; other columns are left alone. A page is read in one pass, also where quotes, comments or elements
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
 NOISE = frozenset("nav header footer aside form button select dialog menu head".split()) | RAW
+HIDDEN = RAW | {"head"}
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"))
 #: A start tag of the first kind ends an open element of the second, up to the nearest of the third.
@@ -39,10 +46,11 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "hidden", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.hidden = tag in HIDDEN
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -154,18 +162,25 @@ def parse(page: str) -> Node:
     return root
 
 
-def _ordered(root: Node) -> list[Node]:
-    """All nodes outside noise, parents before children."""
+def _kept(node: Node, names: bool) -> list[Node]:
+    """The children that count: those that are shown, with names only those that aren't noise by tag, role or name."""
+    return [x for x in node.children() if not (x.hidden or names and x.noise)]
+
+
+def _ordered(root: Node, names: bool) -> list[Node]:
+    """All nodes that count, parents before children."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [x for x in node.children() if not x.noise]
+        todo += _kept(node, names)
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    nodes = _ordered(root)
+def measure(root: Node, names: bool = False) -> list[Node]:
+    nodes = _ordered(root, names)
+    for node in nodes:
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
     for node in reversed(nodes):
         text = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         node.chars += text
@@ -185,35 +200,33 @@ def measure(root: Node) -> list[Node]:
         base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
         node.density = node.chars / tags * max(0.0, math.log(max(1.0, node.chars / links * tags / link_tags)) / base) if node.chars else 0.0
     for node in nodes:
-        inner = [x.density for x in node.children() if not x.noise and x.tag in BLOCK]
+        inner = [x.density for x in _kept(node, names) if x.tag in BLOCK]
         node.total = sum(inner) if inner else node.density  # what stands inside a line is no block of its own
     return nodes
 
 
-def content(root: Node) -> set[Node]:
-    """The nodes whose subtrees are the main text.
-
-    The least density on the path from the densest block to the body is the threshold. From the body down, of each node
-    that reaches it, as all above it do, the subtree of the greatest sum is content.
-    """
-    nodes = measure(root)
+def content(root: Node, names: bool = False) -> set[Node]:
+    """The nodes whose subtrees are the main text, by density; with names without what is noise."""
+    nodes = measure(root, names)
     body = next((x for x in nodes if x.tag == "body"), root)
-    blocks_ = [x for x in nodes if x.tag in BLOCK or x is root]
-    densest = max(blocks_, key=lambda x: x.total)
-    path = [x.density for x in _up(densest)]
-    least = min(path[: 1 + next((k for k, x in enumerate(_up(densest)) if x is body), len(path) - 1)])
+    densest = max((x for x in nodes if x.tag in BLOCK or x is root), key=lambda x: x.total)
+    path = list(_up(densest))
+    path = path[: 1 + next((k for k, x in enumerate(path) if x is body), len(path) - 1)]
+    if not names and any(x.noise for x in path):
+        return content(root, True)
+    least_density, least_total = min(x.density for x in path), min(x.total for x in path)
     best = {}
     for node in reversed(nodes):
-        inner = [best[x] for x in node.children() if not x.noise and x in best and best[x].chars]
+        inner = [best[x] for x in _kept(node, names) if x in best and best[x].chars]
         own = [node] if node in (body, root) or node.tag in BLOCK else []
         if own or inner:
             best[node] = max(own + inner, key=lambda x: (x.total, x.chars))
     found, todo = set(), [body]
     while todo:
         node = todo.pop()
-        if node.density >= least and node in best:
+        if node.density >= least_density and node in best and best[node].total >= least_total:
             found.add(best[node])
-            todo += [x for x in node.children() if not x.noise]
+            todo += _kept(node, names)
     return found
 
 
@@ -223,8 +236,8 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def blocks(root: Node, found: set[Node]) -> list[str]:
-    """The texts of the blocks of the subtrees found, in page order."""
+def blocks(root: Node, found: set[Node], names: bool = True) -> list[str]:
+    """The texts of the blocks of the subtrees found, in page order; with names less the noise in them."""
     out: list[list[str]] = [[]]
     todo: list[tuple[Node | str | None, bool]] = [(root, False)]
     while todo:
@@ -236,7 +249,7 @@ def blocks(root: Node, found: set[Node]) -> list[str]:
                 out[-1].append(x)
         elif x.tag in ("br", "wbr"):
             out[-1].append(" " if x.tag == "br" else "")
-        elif not x.noise or x in found:
+        elif not (x.hidden or names and x.noise):
             inside = inside or x in found
             if x.tag in BLOCK:
                 out.append([])
@@ -245,11 +258,12 @@ def blocks(root: Node, found: set[Node]) -> list[str]:
     return [" ".join(html.unescape("".join(x)).split()) for x in out]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, names: bool = True) -> str:
+    """The main text of a page; without names as density alone finds it."""
     if not page:
         return ""
     root = parse(page)
-    return " ".join(x for x in blocks(root, content(root)) if x)
+    return " ".join(x for x in blocks(root, content(root), names) if x)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
