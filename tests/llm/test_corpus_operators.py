@@ -366,6 +366,46 @@ def mix_targets(sizes):
         full |= over
 
 
+def rate_truth(sizes, target, most=3):
+    """By bisection: the multiplier at which the bounded exponential rates of a source's documents give its target."""
+    held = [z for z in sizes if z]
+    mean = sum(held) / len(held)
+    rates = lambda m: {z: min(most, math.exp(min(50, m * z / mean))) for z in set(held)}
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        m = (low + high) / 2
+        low, high = (m, high) if sum(z * rates(m)[z] for z in held) < target else (low, m)
+    return rates((low + high) / 2) | {0: 0.0}
+
+
+def test_rates_and_copies_equal_plain_ones(spark):
+    """Rates against bisection, copies of each size against rounding from the largest size on, those of its documents apart by one at most."""
+    rng = np.random.default_rng(17)
+    data = [(i if i % 50 else None, " ".join(["w"] * int(rng.choice([1, 5, 40, 41, 300]))), (None, "a", "b", "c")[int(rng.choice(4, p=[0.1, 0.1, 0.2, 0.6]))]) for i in range(700)]
+    data += data[:40] + [(9000, None, "a"), (9001, "", "b"), (9002, "w " * 5000, "a")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, source string, copies int, size string")
+    got = mixing.mix_digest(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in data)
+    named = mixing.mixed(docs.withColumn("origin", docs["source"]), keep=("origin",)).collect()
+    sizes = defaultdict(list)
+    for _, t, source in data:
+        sizes[source].append(len((t or "").split()))
+    targets = mix_targets({k: sum(v) for k, v in sizes.items()})
+    by_size = defaultdict(lambda: defaultdict(list))
+    for r in named:
+        by_size[r.origin][r["size"]].append((r.copies, r.rate))
+    for source, own in sizes.items():
+        rates, carried = rate_truth(own, targets[source]), 0.0
+        for z in sorted(set(own), reverse=True):
+            held = by_size[source][z]
+            assert len(held) == own.count(z) and all(math.isclose(rate, rates[z], rel_tol=1e-6, abs_tol=1e-12) for _, rate in held)
+            wanted = z * len(held) * rates[z] + carried
+            n = min(3 * len(held), max(0, round(wanted / z))) if z else 0
+            carried = wanted - n * z
+            copies = [c for c, _ in held]
+            assert abs(sum(copies) - n) <= (abs(wanted / z % 1 - 0.5) < 1e-4 if z else 0) and max(copies) - min(copies) <= 1 and max(copies) <= 3
+
+
 def test_mixing(spark, empty):
     rng = np.random.default_rng(3)
     data = [(i, " ".join(["w"] * int(rng.integers(1, 400))), None if i % 11 == 0 else f"s{i % 4}") for i in range(400)] + [(1000, None, "s1"), (1001, "tiny", "zz")]
