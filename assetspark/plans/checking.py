@@ -68,7 +68,7 @@ classified AS (
 SIZED = f"""{CLASSIFIED},
 looked AS (
   SELECT o.*, c.*, a.solid, a.flat_alpha, a.alpha_detail, a.binary_alpha, a.r, a.g, a.b, a.a, {drop('w', 'h', 'mips', 'o.cap')} AS d, {halvings('w', 'h', 'o.cap')} AS n,
-    a.a = 255 AND ((a.r >> 3) << 3 | a.r >> 5) = a.r AND ((a.g >> 2) << 2 | a.g >> 6) = a.g AND ((a.b >> 3) << 3 | a.b >> 5) = a.b AS in_565
+    a.a = 255 AND (((a.r >> 3) << 3) | (a.r >> 5)) = a.r AND (((a.g >> 2) << 2) | (a.g >> 6)) = a.g AND (((a.b >> 3) << 3) | (a.b >> 5)) = a.b AS in_565
   FROM classified c LEFT JOIN analysis a ON a.tex_id = c.vec_id CROSS JOIN options o),
 cut AS (SELECT *, greatest(1, w >> CAST(d AS INTEGER)) AS cut_w, greatest(1, h >> CAST(d AS INTEGER)) AS cut_h, mips - d AS cut_mips, coalesce(solid AND collapse, false) AS shrinks FROM looked),
 surfaced AS (
