@@ -11,12 +11,13 @@ from typing import TextIO
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assetspark.functions import encoders
 from assetspark.operators import library, report
 from assetspark.progress import Event, Progress
 from assetspark.settings import Arguments, SettingError, parse
-from assetspark.sources.container import ContainerError, backup
+from assetspark.sources.container import ContainerError, backup_all
 
 VERSION = "0.3.0"
 DONE, ERROR, ISSUES = 0, 1, 2
@@ -52,9 +53,8 @@ def analyze(spark: SparkSession, args: Arguments, out: TextIO) -> int:
 def optimize(spark: SparkSession, args: Arguments, out: TextIO) -> int:
     chosen = encoders.resolve(args.settings.encoder)  # an encoder asked for that isn't there is an error before anything else
     entries, plan, sizes = _planned(spark, args, out)
-    worth = [r["bundle"] for r in sizes.filter("worth_writing").select("bundle").toLocalIterator()] if args.output is None else []
-    nothing = sizes.filter("worth_writing").isEmpty()
-    sizes.unpersist()
+    worth = sizes.filter("worth_writing").select("bundle")
+    nothing = worth.isEmpty()
     if nothing:
         out.write("nothing to do\n")
         return DONE
@@ -63,8 +63,10 @@ def optimize(spark: SparkSession, args: Arguments, out: TextIO) -> int:
         return DONE
     path = args.need_path()
     root = path if os.path.isdir(path) else os.path.dirname(path) or "."
-    for bundle in worth:
-        out.write(f"backed up {len(backup(bundle, args.backup or 'backup'))} files of {bundle}\n")
+    if args.output is None:
+        saved = backup_all(worth, args.backup or "backup").agg(F.sum("n_files").alias("files"), F.count("*").alias("bundles")).first()
+        out.write(f"backed up {saved['files']} files of {saved['bundles']} bundles\n")
+    sizes.unpersist()
     out.write(f"encoding with {chosen.name}, {args.settings.quality} effort\n")
     steps: list[str] = []
 

@@ -352,12 +352,48 @@ def write_layout(placed: DataFrame, out_root: str, root: str) -> DataFrame:
 
 def backup(path: str, folder: str = "backup") -> list[str]:
     """A bundle and its companions copied beside it; an earlier copy is never overwritten."""
-    there = os.path.join(os.path.dirname(path), folder)
-    files = [f for f in (path, path + GPU, path + STREAM) if os.path.exists(f)]
-    copies = [os.path.join(there, os.path.basename(f)) for f in files]
+    files, copies = (list(x) for x in zip(*_copies(path, folder), strict=True))
     if taken := [c for c in copies if os.path.exists(c)]:
         raise FileExistsError(taken[0])
-    os.makedirs(there, exist_ok=True)
     for f, c in zip(files, copies, strict=True):
+        os.makedirs(os.path.dirname(c), exist_ok=True)
         shutil.copyfile(f, c)
     return copies
+
+
+def _copies(path: str, folder: str) -> list[tuple[str, str]]:
+    """The files of a bundle that are there, each with the name of its copy; a folder that isn't absolute lies beside the bundle."""
+    there = os.path.join(os.path.dirname(path), folder)
+    return [(f, os.path.join(there, os.path.basename(f))) for f in (path, path + GPU, path + STREAM) if os.path.exists(f)]
+
+
+def backup_all(bundles: DataFrame, folder: str = "backup") -> DataFrame:
+    """bundle, n_files, bytes: bundles and their companions copied by tasks, as a table.
+
+    If any copy is there already, nothing is copied at all. Copies get their names once they are whole, and one that an
+    earlier attempt of a task made is left as it is.
+    """
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c for p in batch.column(0).to_pylist() for _, c in _copies(p, folder) if os.path.exists(c)], pa.string())], ["copy"])
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            counts, sizes = [], []
+            for files in (_copies(p, folder) for p in paths):
+                for f, c in files:
+                    if not os.path.exists(c):
+                        os.makedirs(os.path.dirname(c), exist_ok=True)
+                        own = f"{c}.{uuid.uuid4().hex}.tmp"
+                        shutil.copyfile(f, own)
+                        os.replace(own, c)
+                counts.append(len(files))
+                sizes.append(sum(os.path.getsize(f) for f, _ in files))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["bundle", "n_files", "bytes"])
+
+    bundles = stored(bundles.select("bundle").distinct(), "bundles")
+    if there := bundles.mapInArrow(taken, "copy string").first():
+        raise FileExistsError(there["copy"])
+    return stored(bundles.mapInArrow(copy, "bundle string, n_files long, bytes long"), "backups")

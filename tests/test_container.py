@@ -85,6 +85,19 @@ def test_backup_never_overwrites(root):
         container.backup(path)
 
 
+def test_backups_by_tasks_copy_all_or_nothing(spark, root, tmp_path_factory):
+    bundles = read(spark, root).select("bundle")
+    with pytest.raises(FileExistsError):  # one bundle has an earlier copy beside it
+        container.backup_all(bundles)
+    assert not os.path.exists(f"{root}/R-36/Shorty/backup")
+    others = bundles.filter("bundle NOT LIKE '%Alpha%'")
+    made = {r.bundle: (r.n_files, r.bytes) for r in container.backup_all(others).collect()}
+    assert len(made) == 2 and {n for n, _ in made.values()} == {3}
+    for path in made:
+        there = os.path.join(os.path.dirname(path), "backup")
+        assert all(Path(there, os.path.basename(path) + e).read_bytes() == Path(path + e).read_bytes() for e in ("", GPU, ".stream")) and len(os.listdir(there)) == 3
+
+
 def test_copies_in_chunks(tmp_path):
     (tmp_path / "x").write_bytes(bytes(range(200)))
     with open(tmp_path / "x", "rb") as old, open(tmp_path / "y", "wb") as new:
