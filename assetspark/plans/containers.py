@@ -11,7 +11,7 @@ from assetspark.plans.registry import query
 from assetspark.sources import listing
 from assetspark.sources.compose import compose
 from assetspark.sources.container import TYPE_NAMES, entries_at, with_payloads
-from assetspark.sources.shared import place
+from assetspark.sources.shared import local_path, place
 from assetspark.sources.synthetic import texture_header
 
 _IDS = {name: number - (1 << 64 if number >> 63 else 0) for number, name in TYPE_NAMES.items()}
@@ -23,7 +23,7 @@ def written(spark, sf_dir: str) -> tuple[DataFrame, str]:
 
     The payload of an entry is its text; textures have a header whose width is that of their text's first WIDTH bytes.
     """
-    folder = place(spark, "containers").removeprefix("file://")
+    folder = local_path(place(spark, "containers"))
     kind = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in TYPES.items()), F.lit("unit"))
     docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("library/"), "source", F.lit(".patch_0")).alias("bundle"), F.col("doc_id").alias("pos"), kind.alias("kind"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
     number = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v).cast("long")) for k, v in _IDS.items()))

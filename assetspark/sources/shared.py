@@ -29,6 +29,13 @@ def place(spark: SparkSession, name: str) -> str:
     return where
 
 
+def local_path(path: str) -> str:
+    """A path of the shared folder as tasks open it by themselves; an error where only Spark's readers could."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path} can't be opened as a file")
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of the shared folder and read again. The table is removed when the driver ends."""
     spark = df.sparkSession
