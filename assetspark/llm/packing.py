@@ -48,9 +48,10 @@ class Encoder:
     of the tokenizer's special tokens are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KNOWN):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -81,7 +82,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if any(s in t for s in self.special) else self.stretches(t) for t in texts]
-        if len(self.known) > KNOWN:
+        if len(self.known) > self.most:
             self.known.clear()
         new = {x for parts in cut for x in parts if x not in self.known}
         words = [x for x in new if 1 < len(x) <= SHORT and x[0] == " " and x.count(" ") == 1 and not any(s in x for s in self.special)]
@@ -97,15 +98,15 @@ class Encoder:
         return self.encode_batch([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 KEPT.append(_ENCODERS)
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker: loading takes longer than many texts."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = KNOWN) -> Encoder:
+    """One for each Python worker: loading takes longer than many texts. most: words that it keeps with their ids."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -114,12 +115,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, most: int = KNOWN) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     closing = np.asarray([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, most)
         for batch in in_slices(batches):
             whose, rows = [], []
             for i, ids in enumerate(enc.encode_batch([t or "" for t in batch.column("text").to_pylist()])):
@@ -222,6 +223,9 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranked.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in out) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack(cut(docs, path or tokenizer_path(), length), length)
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, most: int = KNOWN) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    most: words that a worker keeps with their ids, about 250 bytes each; fewer take time in place of memory.
+    """
+    return pack(cut(docs, path or tokenizer_path(), length, most=most), length)
