@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +36,35 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The folders of tables that stored() returned.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of the shared folder and read again: columnar and compressed, for larger results.
 
-    The table is removed when the driver ends.
+    The table is removed by dropped(), or when the driver ends.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    path, files = _path(spark, where)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(where)
+    _FOLDERS[out] = where
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of stored(). Whatever is still to be computed must read none of them: store or settle it before."""
+    for table in tables:
+        path, files = _path(table.sparkSession, _FOLDERS.pop(table))
+        files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetspark.llm.common import BLANK, WordHasher, forget, in_slices, scramble, settle, stored, utf8
+from assetspark.llm.common import BLANK, WordHasher, dropped, forget, in_slices, scramble, settle, stored, utf8
 
 WORDS = 3
 LEAST = (9, 10)  # numerator and denominator of the least similarity
@@ -411,7 +411,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = WORDS, least=LEAST) ->
         return pairs.select("a", "b", *(f"{c}_{end}" for end in ("a", "b") for c in columns))
 
     possible = stored(ends(pairs, "n", "sketch").mapInArrow(kept(likely), "a long, b long"), "likely")
-    return stored(ends(possible, "held").mapInArrow(kept(alike), "a long, b long"), "links")
+    links = stored(ends(possible, "held").mapInArrow(kept(alike), "a long, b long"), "links")
+    dropped(pairs, held, possible)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -448,9 +450,11 @@ def through_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, k: int = WORDS, least=LEAST, keep_numbers: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; with keep_numbers also those of rows without doc_id."""
     docs = docs.select(numbered(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("doc_id").isNotNull().alias("real"), "text")
-    known = stored(profiles(docs, common_shingles(docs, k), k, least), "profiles")
-    full = known.filter("n > 0")
-    classes = stored(full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bitmap", "prefix"), "doc_id").alias("r")).select("digest", "r.*"), "classes")
+    wide = stored(profiles(docs, common_shingles(docs, k), k, least), "profiles")
+    classes = stored(wide.filter("n > 0").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bitmap", "prefix"), "doc_id").alias("r")).select("digest", "r.*"), "classes")
+    # Bitmaps and prefixes are those of the classes from here on.
+    known = stored(wide.select("doc_id", "real", "n", "digest"), "known")
+    dropped(wide)
     lists = by_list(index_lists(classes))
     first = stored(lists.mapInPandas(_spanning(least), "token long, lo int, hi int, a long, b long, block int, rid long, n long, at long, more boolean"), "spanning")
     spanning = first.filter("a IS NOT NULL")
@@ -475,9 +479,10 @@ def linked(docs: DataFrame, k: int = WORDS, least=LEAST, keep_numbers: bool = Fa
             labels = components(links.union(late))
     named = classes.select("digest", F.col("doc_id").alias("rid")).join(labels, F.col("rid") == F.col("id"), "left").select("digest", F.coalesce("label", "rid").alias("component"))
     held = known.select("doc_id", "real", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    held = stored(held.select("doc_id", "real", "n", "component"), "members")
+    dropped(known, classes, first)
     if keep_numbers:
         return held.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    held = stored(held.select("doc_id", "real", "n", "component"), "members")
     # A component under NUMBERED is a doc_id; of the others, the least doc_id among their rows is looked up.
     high = F.col("component") >= NUMBERED
     least = settle(held.filter(high).groupBy("component").agg(F.min(F.when(F.col("real"), F.col("doc_id"))).alias("least")))

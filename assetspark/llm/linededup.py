@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetspark.llm.common import stored
+from assetspark.llm.common import dropped, stored
 
 #: Words of the shortest run that counts as a repetition.
 RUN = 3
@@ -86,7 +86,11 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     extended = windows.join(shared, "print", "left_semi").select("doc_id", "tie", "first", "last", "h", "g")
     firsts = stored(extended.groupBy("h", "g").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("earliest < latest").select("h", "g", "earliest"), "firsts")
     later = extended.join(firsts, ["h", "g"]).filter(place > F.col("earliest"))
-    return later.select("doc_id", "tie", F.explode(F.sequence("first", "last")).alias("at")).groupBy("doc_id", "tie").agg(F.collect_set("at").alias("gone"))
+    lines = later.select("doc_id", "tie", F.explode(F.sequence("first", "last")).alias("at")).groupBy("doc_id", "tie").agg(F.collect_set("at").alias("gone"))
+    # The numbers take a small part of the windows' disk, which is free again before the texts travel.
+    gone = stored(lines, "gone")
+    dropped(windows, shared, firsts)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, spare: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import re
 import time
 import zlib
@@ -593,6 +594,19 @@ def test_shingle_join_answers_every_row(spark):
     assert got == [(0, 0, 0), (0, 1, 0), (0, 9, 4), (0, 9, 4), (4, 3, 4), (4, 9, 4), (4, 9, 4), (9, 3, 4)]
 
 
+def tables(spark):
+    """Names of the tables in the shared folder, less what tells them apart."""
+    return Counter(p.name.rsplit("-", 1)[0] for p in pathlib.Path(spark.conf.get("spark.checkpoint.dir"), "tables").glob("*"))
+
+
+def test_shingle_join_and_line_dedup_leave_no_large_tables(spark):
+    """Profiles, sets and windows go from the disk once nothing reads them, not when the driver ends."""
+    docs = spark.createDataFrame([(i, f"{t}\nthe same line in every text") for i, t in near_copies(20).items()], "doc_id long, text string")
+    before = tables(spark)
+    assert jaccard.linked(docs).count() == linededup.dedup_lines(docs).count() == docs.count()
+    assert set(tables(spark) - before) <= {"links", "members", "gone"}
+
+
 def test_shingle_join_in_blocks(spark, monkeypatch):
     """Lists longer than a block are dealt in pairs of blocks and lose no link."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)

@@ -51,6 +51,22 @@ def test_one_of_each_group_stays(steps):
     assert {r.doc_id for r in steps[3]} == {i for i, (_, c) in truth.items() if i == c} and len(steps[3]) < len(steps[2])
 
 
+@pytest.mark.parametrize("most", [0, corpus_pipeline.GONE_IDS])
+def test_near_copies_go_without_a_shuffle_of_the_texts(spark, sf_dir, monkeypatch, most):
+    """What a sort-merge join would shuffle are the whole texts; only beyond GONE_IDS is there one, with the same rows."""
+    monkeypatch.setattr(corpus_pipeline, "GONE_IDS", most)
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{words} end{i}" if i < 4 else f"text {i} stands alone here with words of its own", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.keep_one_of_alike(spark, docs, sf_dir)
+        assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        assert sorted(r.doc_id for r in out.collect()) == [0, 4, 5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, copies string, n_lines string, n_deleted int, score string, rest string, tag int, id int, row string, size int, component_id int, `a.b` string"
 LINE = "one line of words that is long enough to be a passage by itself "
 
