@@ -75,24 +75,28 @@ class Encoder:
     @staticmethod
     def stretches(text: str) -> list[str]:
         """text cut before each space that a character other than white space follows."""
-        if LOOSE.search(text):
+        if "\x00" in text or LOOSE.search(text):
             return LED.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.replace(" ", "\x00 ").split("\x00")
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if any(s in t for s in self.special) else self.stretches(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = {x for parts in cut for x in parts if x not in self.known}
+        # Each stretch is looked up once; only the places of new ones are filled in later.
+        out = [list(map(self.known.get, parts)) for parts in cut]
+        gaps = [[k for k, ids in enumerate(held) if ids is None] if None in held else [] for held in out]
+        new = {parts[k] for parts, at in zip(cut, gaps, strict=True) for k in at}
         words = [x for x in new if 1 < len(x) <= SHORT and x[0] == " " and x.count(" ") == 1 and not any(s in x for s in self.special)]
         self.known.update(zip(words, self._words(words), strict=True))
         others = list(new.difference(words))
         self.known.update(zip(others, (ids.tobytes() for ids in self._whole(others)), strict=True))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for parts, held, at in zip(cut, out, gaps, strict=True):
+            for k in at:
+                held[k] = self.known[parts[k]]
         for x in others:
             del self.known[x]
-        return out
+        return [b"".join(held) for held in out]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]

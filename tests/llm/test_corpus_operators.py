@@ -510,6 +510,34 @@ def test_ids_are_those_of_whole_texts(texts):
     assert enc.encode_batch(texts) == [np.asarray(enc.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_a_known_stretch_is_looked_up_once():
+    """Lookups are what texts of known words cost; also cut at spaces as by the pattern, with and without NUL."""
+    looked = Counter()
+
+    class Known(dict):
+        def get(self, x):
+            looked[x] += 1
+            return super().get(x)
+
+        def __getitem__(self, x):
+            looked[x] += 1
+            return super().__getitem__(x)
+
+        def __contains__(self, x):
+            looked[x] += 1
+            return super().__contains__(x)
+
+    enc = packing.Encoder(packing.tokenizer_path())
+    enc.known = Known()
+    text = "first" + "".join(f" w{i}" for i in range(500))
+    ids = enc.encode(text)
+    looked.clear()
+    assert enc.encode(text) == ids == np.asarray(enc.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert {looked[f" w{i}"] for i in range(500)} == {1}
+    for t in ("", " ", " a", "a b", "a\x00b c", "a  b", "\x00 a", "a b\n c"):
+        assert enc.stretches(t) == packing.LED.split(t)
+
+
 def test_each_bin_is_the_fullest_there_is():
     """Against all subsets of the pieces left, for small plans."""
     rng = np.random.default_rng(8)
