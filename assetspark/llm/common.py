@@ -67,6 +67,16 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(path, True)
 
 
+#: Bytes of an Arrow batch, where the session sets no bound of its own.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES: texts in batches of 64 MB take several times that in an executor and its workers."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(bound, spark.conf.get(bound, BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

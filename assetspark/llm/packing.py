@@ -14,6 +14,7 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -49,6 +50,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = KNOWN):
+        # A task has one core; with threads of the tokenizer's own, each keeps memory of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.most = most

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import pathlib
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -559,6 +562,13 @@ def test_each_bin_is_the_fullest_there_is():
                     left.remove(x)
 
 
+def test_the_tokenizer_starts_no_threads():
+    """In a new process, as a worker is: each thread would keep memory of its own."""
+    code = "import os; from assetspark.llm import packing; e = packing.Encoder(packing.tokenizer_path()); n = len(os.listdir('/proc/self/task')); e.encode_batch([f'new{i} word{i}' for i in range(5000)]); print(len(os.listdir('/proc/self/task')) - n)"
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert int(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split()[-1]) == 0
+
+
 def test_packing_a_million_blanks(spark):
     got = packing.pack_documents(spark.createDataFrame([(1, "a" + 1_000_000 * " " + "x"), (2, "b")], "doc_id long, text string")).collect()
     assert sum(r.length for r in got if r.doc_id == 1) == 1_000_002

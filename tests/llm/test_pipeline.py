@@ -2,12 +2,13 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 import oracle
 from assetspark.llm import packing, toxicity
-from assetspark.llm.common import stored
+from assetspark.llm.common import small_batches, stored
 from assetspark.llm.queries import ORACLES, QUERIES
 from test_corpus_operators import dedup_truth, join_truth, mix_targets
 
@@ -101,6 +102,24 @@ def test_stages_keep_odd_rows_and_columns(spark, sf_dir, k):
         assert all(n <= 3 * most[key] for key, n in Counter((r.doc_id, r.text) for r in kept).items())
 
 
+@pytest.mark.parametrize("k", [0, 2, 4])
+def test_long_texts_travel_in_small_arrow_batches(spark, sf_dir, k):
+    """After each stage with Python; a bound that the session set itself stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(bound)
+    spark.conf.unset(bound)
+    try:
+        corpus_pipeline.STAGES[k][1](spark, odd_rows(spark), sf_dir)
+        texts = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches), "rows long, size long").collect()
+        assert sum(r["rows"] for r in sizes) == 24 and max(r["size"] for r in sizes) < 6_000_000
+        spark.conf.set(bound, "1m")
+        small_batches(spark)
+        assert spark.conf.get(bound) == "1m"
+    finally:
+        spark.conf.set(bound, was)
+
+
 def test_mix_nears_its_targets(steps):
     words = lambda t: len((t or "").encode().split())
     sizes, taken = defaultdict(int), defaultdict(int)
