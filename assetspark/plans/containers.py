@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetspark.bindings import ASSETS, TYPES, read
 from assetspark.functions.dialect import DUCK
+from assetspark.operators import ranges
 from assetspark.plans.registry import query
 from assetspark.sources import listing
 from assetspark.sources.compose import compose
@@ -67,5 +68,6 @@ SELECT bundle, pos, CASE WHEN pos % 5 <> 0 THEN upper(sha256(t)) END AS payload_
 def container_payloads(spark, sf_dir):
     """Payloads read by range; every fifth is asked for past the end of its file, which is told in its row."""
     entries, folder = written(spark, sf_dir)
-    asked = with_payloads(entries.withColumn("gpu_size", F.col("gpu_size") + F.expr(_MORE)))
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", ranges.bucket_of("gpu_offset"))  # a bundle's payloads are read by many tasks
+    asked = with_payloads(dealt.withColumn("gpu_size", F.col("gpu_size") + F.expr(_MORE)), at_once=ranges.BYTES)
     return asked.select(_source(folder).alias("bundle"), "pos", F.upper(F.sha2("payload", 256)).alias("payload_sha256"), F.col("payload_error").alias("problem"))

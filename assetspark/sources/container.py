@@ -19,6 +19,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from decimal import Decimal
+from itertools import chain, islice
 from pathlib import Path
 from typing import BinaryIO
 
@@ -93,14 +94,17 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def read_range(path: str, at: int, size: int) -> tuple[bytes | None, str | None]:
-    """(size bytes from a place of a file, None), or (None, why they can't be had)."""
+    """(size bytes from a place of a file, None), or (None, why they can't be had). Of a range past the end nothing is read: the file's length tells what is missing."""
     try:
         with open(path, "rb") as f:
             f.seek(at)
-            held = f.read(size)
+            there = min(size, max(0, os.fstat(f.fileno()).st_size - at))
+            if there == size:
+                held = f.read(size)
+                there = len(held)
     except OSError as error:
         return None, error.strerror
-    return (held, None) if len(held) == size else (None, f"read past end: {size - len(held)} of {size} bytes at {at} are missing")
+    return (held, None) if there == size else (None, f"read past end: {size - there} of {size} bytes at {at} are missing")
 
 
 def entry_rows(path: str, columns: list[str] = COLUMNS, keep=lambda row: True) -> Iterator[tuple]:
@@ -112,19 +116,19 @@ def entry_rows(path: str, columns: list[str] = COLUMNS, keep=lambda row: True) -
         f.seek(0)
         _, entries = parse(f.read(min(size, HEADER_BYTES + TYPE_BYTES * n_types + ENTRY_BYTES * n_files)), path)
         wants_header, wants_payload = (any(c in columns for c in names) for names in (HEADER_FIELDS, PAYLOAD))
-        for pos, e in enumerate(entries):
-            type_id = int(e["type_id"])
-            row = {"bundle": path, "pos": pos, "type_name": TYPE_NAMES.get(type_id, f"{type_id:016X}")}
+        for pos, e in enumerate(chain.from_iterable(entries[at : at + 4096].tolist() for at in range(0, n_files, 4096))):
+            e = dict(zip(ENTRY_DTYPE.names, e, strict=True))
+            type_id = e["type_id"]
+            row = {"bundle": path, "pos": pos, "type_name": TYPE_NAMES.get(type_id) or f"{type_id:016X}"}
             if not keep(row):
                 continue
-            row |= {"file_id": Decimal(int(e["file_id"])), "name": f"{int(e['file_id']):016X}", "type_id": Decimal(type_id)}
-            row |= {c: int(e[c]) for c in ("cpu_offset", "cpu_size", "gpu_offset", "gpu_size", "stream_offset", "stream_size", "index")}
+            row |= {**e, "file_id": Decimal(e["file_id"]), "name": f"{e['file_id']:016X}", "type_id": Decimal(type_id)}
             if wants_header and type_id == TEXTURE:
                 f.seek(row["cpu_offset"])
                 row |= dds_header(f.read(row["cpu_size"])) or {}
             if wants_payload:
                 row["payload"], row["payload_error"] = read_range(path + GPU, row["gpu_offset"], row["gpu_size"])
-            yield tuple(row.get(c) for c in columns)
+            yield tuple(map(row.get, columns))
 
 
 def bundle_files(root: str) -> list[str]:
@@ -209,15 +213,15 @@ def entries_at(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], arrow.names)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 try:
-                    rows = [(*r, None) for r in entry_rows(path)]
+                    rows = entry_rows(path)
+                    held = [of([(*r, None) for r in part]) for part in iter(lambda: list(islice(rows, 10_000)), [])]
                 except (ContainerError, OSError) as error:
-                    rows = [(path, *[None] * (len(COLUMNS) - 1), str(error))]
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(arrow)], arrow.names)
+                    held = [of([(path, *[None] * (len(COLUMNS) - 1), str(error))])]
+                yield from held
 
     read = stored(bundles.select("bundle").mapInArrow(run, schema), "read")
     return read.filter("error IS NULL").drop("error"), read.filter("error IS NOT NULL").select("bundle", "error")
@@ -232,7 +236,7 @@ def with_payloads(entries: DataFrame, at_once: int = 1 << 25) -> DataFrame:
             first, held, size = 0, [], 0
             for i, (path, at, n) in enumerate(places):
                 held.append(read_range(path + GPU, at, n))
-                size += n
+                size += len(held[-1][0] or b"")
                 if size >= at_once or i + 1 == len(places):
                     yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.string())], [*batch.schema.names, *PAYLOAD])
                     first, held, size = i + 1, [], 0

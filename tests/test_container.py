@@ -2,6 +2,7 @@
 
 import os
 import struct
+import tracemalloc
 from pathlib import Path
 
 import pytest
@@ -98,6 +99,40 @@ def test_backups_by_tasks_copy_all_or_nothing(spark, root, tmp_path_factory):
         assert all(Path(there, os.path.basename(path) + e).read_bytes() == Path(path + e).read_bytes() for e in ("", GPU, ".stream")) and len(os.listdir(there)) == 3
 
 
+def test_ranges_past_the_end_are_told_without_reading(tmp_path):
+    (tmp_path / "x").write_bytes(b"abc")
+    length = 1 << 26
+    os.truncate(tmp_path / "x", length)
+    tracemalloc.start()
+    try:
+        assert container.read_range(tmp_path / "x", 3, length) == (None, f"read past end: 3 of {length} bytes at 3 are missing")
+        assert container.read_range(tmp_path / "x", length + 7, 5) == (None, f"read past end: 5 of 5 bytes at {length + 7} are missing")
+        assert container.read_range(tmp_path / "x", 0, 3) == (b"abc", None) and container.read_range(tmp_path / "x", length - 2, 2) == (b"\0\0", None)
+        assert container.read_range(tmp_path / "x", length, 0) == container.read_range(tmp_path / "x", length + 7, 0) == (b"", None)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    assert container.read_range(tmp_path / "none", 0, 1) == (None, "No such file or directory")
+
+
+def test_tables_and_payloads_of_many_entries(spark, tmp_path):
+    """Tables longer than a block and an Arrow batch; one payload in five is asked for past the end of the file."""
+    n = 10_003
+    synthetic.write_bundle(tmp_path / "x", [synthetic.opaque(i % 7, i % 256) for i in range(n)])
+    length = os.path.getsize(tmp_path / f"x{GPU}")
+    entries, errors = container.entries_at(spark.createDataFrame([(str(tmp_path / "x"),)], "bundle string"))
+    asked = entries.withColumn("gpu_size", F.expr(f"gpu_size + if(pos % 5 = 0, {length}, 0)"))
+    rows = {r.pos: r for r in container.with_payloads(asked, at_once=1000).select("pos", "gpu_offset", "gpu_size", "payload", "payload_error").collect()}
+    assert errors.isEmpty() and sorted(rows) == list(range(n))
+    held = (tmp_path / f"x{GPU}").read_bytes()
+    for pos, r in rows.items():
+        missing = r.gpu_offset + r.gpu_size - length
+        if pos % 5 == 0 and missing > 0:
+            assert r.payload is None and r.payload_error == f"read past end: {missing} of {r.gpu_size} bytes at {r.gpu_offset} are missing"
+        else:
+            assert bytes(r.payload) == held[r.gpu_offset : r.gpu_offset + r.gpu_size] and r.payload_error is None
+
+
 def test_copies_in_chunks(tmp_path):
     (tmp_path / "x").write_bytes(bytes(range(200)))
     with open(tmp_path / "x", "rb") as old, open(tmp_path / "y", "wb") as new:
